@@ -31,9 +31,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of a character that isn't kept whole go, too; n_chars follows the text. Texts may get empty, rows stay."""
-    cut = suffixes.repeated_bytes(docs, with_text=True).where("n_removed > 0").select(F.col("row").alias("__row"), F.coalesce("kept", F.lit(b"")).alias("__kept")).dropDuplicates(["__row"])
+    cut = suffixes.repeated_bytes(docs, with_text=True).where("n_removed > 0").select(F.col("row").alias("__row"), F.col("kept").alias("__kept")).dropDuplicates(["__row"])
     rows = suffixes.with_row(docs, "__row").join(cut, "__row", "left")
-    text = F.when(F.col("__kept").isNull(), F.col("text")).otherwise(suffixes.whole_characters(F.col("__kept")))
+    text = F.when(F.col("__kept").isNull(), F.col("text")).otherwise(F.col("__kept"))
     new = {"text": text, "n_chars": F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(F.char_length(text)).cast(docs.schema["n_chars"].dataType)}
     return rows.select([new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 

@@ -42,11 +42,12 @@ _EXACT[65:91] = np.random.default_rng(20240302).integers(1, 2**64 - 1, 26, dtype
 _ANCHORS = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("row", pa.int64()), ("run", pa.int64())])
 _VERDICTS = pa.schema([("key", pa.int64()), ("row", pa.int64()), ("run", pa.int64()), ("kind", pa.int32())])
 _BASE = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_bytes", pa.int64()), ("sha256", pa.string())])
-_TEXTS = pa.schema([("row", pa.int64()), ("packed", pa.binary())])
+_TEXTS = pa.schema([("row", pa.int64()), ("n_bytes", pa.int64()), ("packed", pa.binary())])
+_NOTHING = hashlib.sha256(b"").hexdigest()
 _EDGES = pa.schema([("key", pa.int64()), ("row", pa.int64()), ("lo", pa.int64()), ("n", pa.int32()), ("trigger", pa.int32()), ("content", pa.binary())])
 _STRINGS = pa.schema([("string", pa.int64()), ("row", pa.int64()), ("start", pa.int64())])
 _STARTS = pa.schema([("row", pa.int64()), ("starts", pa.list_(pa.int64()))])
-_CUT = pa.schema([("row", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+_CUT = pa.schema([("row", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
 
 
 def prefix_hashes(a: np.ndarray) -> np.ndarray:
@@ -152,8 +153,8 @@ def verdicts_of(batches):
 def texts_of(batches):
     pack = zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        keep = [(r, pack.compress(t)) for r, t in zip(column(batch, "row").to_pylist(), utf8(batch), strict=True) if t]
-        yield to_batch(_TEXTS, [r for r, _ in keep], [t for _, t in keep])
+        keep = [(r, len(t), pack.compress(t)) for r, t in zip(column(batch, "row").to_pylist(), utf8(batch), strict=True) if t]
+        yield to_batch(_TEXTS, *([x[j] for x in keep] for j in range(3)))
 
 
 def _of_edges(batches, length: int, crowded: bool):
@@ -274,7 +275,7 @@ def cut_of(batches, length: int, with_text: bool):
             np.add.at(edge, np.concatenate([(full >> 8) + (full & 255), starts]) + length, -1)
             gone = np.cumsum(edge)[:-1] > 0
             kept = a[~gone].tobytes()
-            out.append((row, int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(kept).hexdigest(), kept if with_text else None))
+            out.append((row, int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None))
         if out:
             yield to_batch(_CUT, *zip(*out, strict=True))
 
@@ -285,7 +286,9 @@ def with_row(docs: DataFrame, name: str = "row") -> DataFrame:
 
 
 def repeated_bytes(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, with_text: bool = False) -> DataFrame:
-    """A row for each row of docs (doc_id long, text string): doc_id, row, n_bytes, n_removed, n_spans, kept_sha256, and kept (binary; null unless with_text and some but not all bytes go).
+    """A row for each row of docs (doc_id long, text string): doc_id, row, n_bytes, n_removed, n_spans, kept_sha256, and kept.
+
+    kept is null unless with_text is set and bytes go; it is the text of the remaining bytes, without characters that lost some of theirs.
 
     Removed is each byte that is covered by a string of `length` bytes (at most 508) of the text's UTF-8 that also starts anywhere else,
     in this or another row; strings never cross rows, and are judged on the input. Null counts as empty. Texts shorter than `length`
@@ -309,9 +312,10 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, wi
     found = stored(found.withColumn("covered", F.aggregate("full", F.lit(0).cast("long"), lambda n, r: n + F.pmod(r, F.lit(256)) + 1)), "found")
 
     base = docs.mapInArrow(run("base_of"), "doc_id long, row long, n_bytes long, sha256 string")
-    base = base.join(found.select("row", "covered", F.size("edges").alias("n_edges")), "row", "left")
-    packed = docs.select("row", "text").mapInArrow(run("texts_of"), "row long, packed binary")
-    texts = stored(packed.join(found, "row").dropDuplicates(["row"]), "texts")
+    base = base.join(found.select("row", "covered"), "row", "left").withColumn("whole", F.coalesce(F.col("covered") == F.col("n_bytes") - (length - 1), F.lit(False)))
+    packed = docs.select("row", "text").mapInArrow(run("texts_of"), "row long, n_bytes long, packed binary")
+    whole = F.col("covered") == F.col("n_bytes") - (length - 1)
+    texts = stored(packed.join(found, "row").where(~whole | (F.size("edges") > 0)).dropDuplicates(["row"]), "texts")
 
     contents = texts.select("row", "packed", "edges").mapInArrow(run("edges_of", length), "key long, row long, lo long, n int, trigger int, content binary")
     starts = contents.repartition("key").sortWithinPartitions("key").mapInArrow(run("starts_of", length), "row long, starts array<long>")
@@ -320,20 +324,11 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, wi
     starts = starts.select("row", F.explode("starts").alias("start")).unionByName(strings.join(twice, "string").select("row", "start"))
     starts = starts.groupBy("row").agg(F.collect_list("start").alias("starts"))
     cut = texts.select("row", "packed", "full").join(starts, "row", "left").mapInArrow(
-        run("cut_of", length, with_text), "row long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+        run("cut_of", length, with_text), "row long, n_removed long, n_spans long, kept_sha256 string, kept string"
     )
+    gone = lambda name, value, none: F.when(F.col("whole"), value).otherwise(F.coalesce(F.col(name), none)).alias(name)
+    zero = F.lit(0).cast("long")
     return base.join(cut, "row", "left").select(
-        "doc_id", "row", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
-        F.coalesce("kept_sha256", "sha256").alias("kept_sha256"), "kept",
+        "doc_id", "row", "n_bytes", gone("n_removed", F.col("n_bytes"), zero), gone("n_spans", F.lit(1).cast("long"), zero),
+        gone("kept_sha256", F.lit(_NOTHING), F.col("sha256")), gone("kept", F.lit("" if with_text else None).cast("string"), F.lit(None).cast("string")),
     )
-
-
-def whole_characters(kept):
-    """Column: the text of UTF-8 bytes without those of cut characters, in Arrow batches."""
-    import pandas as pd
-
-    @F.pandas_udf("string")
-    def decode(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else bytes(v).decode("utf-8", "ignore"))
-
-    return decode(kept)
