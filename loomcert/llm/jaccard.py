@@ -3,13 +3,14 @@
 The plan, over whole texts:
 
 1. `facts`: a row for each document with its set's size and 64-bit identity (equal sets have equal ones), and the
-   counts of shingles that many documents of a batch hold. The counts set the order of shingles, rare first. Any
+   counts of shingles that several documents of a batch hold. The counts set the order of shingles, rare first. Any
    order gives the same result, so the table that is broadcast may be, and is, bounded: `hot_tokens` rows.
-2. Two sets at the threshold or above share one of their first n - ceil(0.8 n) + 1 shingles in that order. Those are
-   the postings, dealt by shingle. A shingle's sets are searched from its least set, the leader; documents with
-   the same set count as one.
-3. T-occurrence search from each leader against the sets that share a posting with it (`divide_skip`).
-4. Sets that share a posting, but neither is its leader, and that are not in one component by now: they are searched
+2. `shared`: the first shingles of each set in that order, so many that of two sets at the threshold, each has at least
+   `needed` of its own among the other's. Dealt by shingle; those of one set only end here, and then all sets that have
+   fewer than `needed` left. Documents with the same set count as one.
+3. A shingle's sets, by classes of size that can be alike, are searched from their least one, the leader: a T-occurrence
+   search (`divide_skip`) in the inverted lists of the sets that share a shingle with it.
+4. Sets that share a shingle, but neither is its leader, and that are not in one component by now: they are searched
    likewise in blocks, one for each component of leaders, cut to `block` sets a side.
 5. Components of all links, and the least doc_id of each.
 
@@ -34,13 +35,14 @@ from .shingles import WORDS, set_id, shingle_set
 from .util import column, on_executors, stored, to_batch, utf8
 
 PERCENT = 80
-HOT_TOKENS = 1 << 18
+HOT_TOKENS = 1 << 19
 BLOCK = 2048
 _MU = 0.03
 
 _FACTS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("token", pa.int64()), ("uses", pa.int64())])
 _POSTINGS = pa.schema([("token", pa.int64()), ("node", pa.int64())])
 _CANDIDATES = pa.schema([("token", pa.int64()), ("leader", pa.int64()), ("node", pa.int64())])
+_MARKS = 1 << 24
 _TEXTS = pa.schema([("node", pa.int64()), ("packed", pa.binary())])
 _LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
@@ -50,8 +52,17 @@ def required(a: int, b: int, percent: int = PERCENT) -> int:
     return -(-percent * (a + b) // (100 + percent))
 
 
+def needed(n: int) -> int:
+    """How many of a set's first shingles a like set must share, at least."""
+    return n // 20 + 1
+
+
 def prefix_length(n: int, percent: int = PERCENT) -> int:
-    return n - -(-percent * n // 100) + 1
+    """The first shingles of a set. Of two like sets a and b, let a's end first in the order: those of b among them are b's first ones, too.
+
+    The overlap is percent of n at least, and n - prefix_length(n) of it may come later, so needed(n) of them are shared.
+    """
+    return min(n, n - -(-percent * n // 100) + needed(n))
 
 
 def divide_skip(lists: list[list[int]], threshold: int, mu: float = _MU) -> Iterator[tuple[int, int]]:
@@ -152,30 +163,64 @@ def postings_of(batches, hot, percent: int, k: int):
             yield to_batch(_POSTINGS, np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out]))
 
 
-def candidates_of(batches):
-    """Rows in the order of (token, node). A group's first node is its leader; the state kept is the last row and the leader."""
-    last_token = last_node = leader = None
+def shared_of(batches):
+    """Rows in the order of (token, node): those of the tokens with several nodes, once for each node. The state kept is the last row and whether it was told."""
+    last = None
     for batch in batches:
         token, node = column(batch, "token").to_numpy(), column(batch, "node").to_numpy()
         if not len(token):
             continue
-        first = np.append(last_token is None or token[0] != last_token, token[1:] != token[:-1])
-        again = np.append(not first[0] and node[0] == last_node, node[1:] == node[:-1]) & ~first
-        at = np.maximum.accumulate(np.where(first, np.arange(len(token)), -1))
-        lead = np.where(at >= 0, node[np.maximum(at, 0)], node[0] if leader is None else leader)
-        last_token, last_node, leader = token[-1], node[-1], lead[-1]
-        keep = ~first & ~again
-        yield to_batch(_CANDIDATES, token[keep], lead[keep], node[keep])
+        told = False
+        if last is not None:
+            token, node, told = np.insert(token, 0, last[0]), np.insert(node, 0, last[1]), last[2]
+        new = np.append(True, (token[1:] != token[:-1]) | (node[1:] != node[:-1]))
+        token, node = token[new], node[new]
+        same = token[1:] == token[:-1]
+        keep = np.append(same, False) | np.append(False, same)
+        last = token[-1], node[-1], bool(keep[-1]) or (len(token) == 1 and told)
+        keep[0] &= not told
+        yield to_batch(_POSTINGS, token[keep], node[keep])
+
 
+def size_class(n: np.ndarray, percent: int) -> np.ndarray:
+    """Sets that can be alike are in one class or in two neighbouring ones."""
+    return np.floor(np.log(n) / -np.log(percent / 100) + 1e-9).astype(np.int64)
 
-def texts_of(batches, k: int):
-    pack = zstandard.ZstdCompressor(level=1)
+
+def candidates_of(batches, percent: int):
+    """Rows (token, node, n) in the order of (token, n, node). A group holds two neighbouring classes of a token, and its first node is its leader.
+
+    Kept from batch to batch: the token, its last class and the first nodes of that and of the class before.
+    """
+    state = None
+    for batch in batches:
+        token, node = column(batch, "token").to_numpy(), column(batch, "node").to_numpy()
+        if not len(token):
+            continue
+        kind = size_class(column(batch, "n").to_numpy(), percent)
+        begin = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (kind[1:] != kind[:-1])))
+        own = np.empty(len(begin), np.int64)
+        before = np.empty(len(begin), np.int64)
+        for k, i in enumerate(begin):
+            t, c = int(token[i]), int(kind[i])
+            if state is None or state[:2] != (t, c):
+                lead = state[2] if state is not None and state[:2] == (t, c - 1) else int(node[i])
+                state = t, c, int(node[i]), lead
+            own[k], before[k] = state[2], state[3]
+        run = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(token))))
+        out = [np.concatenate([a, b]) for a, b in ((token * 64 + kind % 64, token * 64 + (kind + 1) % 64), (before[run], own[run]), (node, node))]
+        keep = out[1] != out[2]
+        yield to_batch(_CANDIDATES, *(x[keep] for x in out))
+
+
+def texts_of(batches, k: int, wanted):
+    pack, marks = zstandard.ZstdCompressor(level=1), wanted.value
     for batch in batches:
         out = {}
         for t in utf8(batch):
             s = shingle_set(t or b"", k)
-            if len(s):
-                out.setdefault(set_id(s), t)
+            if len(s) and marks[(node := set_id(s)) & (_MARKS - 1)]:
+                out.setdefault(node, t)
         yield to_batch(_TEXTS, list(out), [pack.compress(t) for t in out.values()])
 
 
@@ -197,6 +242,15 @@ def links_of(batches, percent: int, k: int):
     yield to_batch(_LINKS, [a for a, _ in links], [b for _, b in links])
 
 
+def marked(nodes: DataFrame) -> np.ndarray:
+    """A fixed number of marks by the nodes' low bits, to leave out most other rows early. Its size doesn't depend on the data."""
+    low = nodes.select(F.col("node").bitwiseAND(_MARKS - 1).alias("b"))
+    words = low.groupBy(F.shiftright("b", 5).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 31 as int))")).alias("bits")).toArrow()
+    out = np.zeros(_MARKS >> 5, np.uint32)
+    out[words.column("w").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
+    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+
+
 def _searched(queries: DataFrame, index: DataFrame, texts: DataFrame, percent: int, k: int, block: int) -> DataFrame:
     """Links (u, v) of queries and indexed nodes of one block; both (block, node, comp). Each side is cut to parts of about `block` nodes."""
     parts = lambda df, name: df.groupBy("block").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
@@ -208,7 +262,7 @@ def _searched(queries: DataFrame, index: DataFrame, texts: DataFrame, percent: i
     return rows.repartition("block", "part").sortWithinPartitions("block", "part").mapInArrow(on_executors("jaccard", "links_of", percent, k), "u long, v long")
 
 
-def jaccard_join(docs: DataFrame, percent: int = PERCENT, k: int = WORDS, hot_tokens: int = HOT_TOKENS, hot_least: int = 4, block: int = BLOCK) -> DataFrame:
+def jaccard_join(docs: DataFrame, percent: int = PERCENT, k: int = WORDS, hot_tokens: int = HOT_TOKENS, hot_least: int = 2, block: int = BLOCK) -> DataFrame:
     """A row for each row of docs (doc_id long, text string): doc_id, n_shingles, component_id.
 
     Documents link if 100 * |A & B| >= percent * |A | B| for their sets of distinct k-word shingles; component_id is the least
@@ -224,12 +278,19 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, k: int = WORDS, hot_to
     order = np.argsort(token)
     hot = spark.sparkContext.broadcast((token[order], uses["uses"].to_numpy(np.int64)[order]))
     postings = docs.mapInArrow(on_executors("jaccard", "postings_of", hot, percent, k), "token long, node long")
-    grouped = postings.repartition("token").sortWithinPartitions("token", "node")
-    candidates = stored(grouped.mapInArrow(on_executors("jaccard", "candidates_of"), "token long, leader long, node long"), "candidates")
-
-    pairs = candidates.select("leader", "node").distinct()
+    own = facts.where("token is null").select("doc_id", "n_shingles", "node")
+    run = lambda name, *args: on_executors("jaccard", name, *args)
+    shared = stored(postings.repartition("token").sortWithinPartitions("token", "node").mapInArrow(run("shared_of"), "token long, node long"), "shared")
+    sizes = own.where("node is not null").groupBy("node").agg(F.min("n_shingles").alias("n"))
+    least = F.floor(F.ceil(F.col("n") * percent / 100) / 20) + 1
+    enough = shared.groupBy("node").agg(F.count("*").alias("c")).join(sizes, "node").where(F.col("c") >= least).select("node", "n")
+    shared = shared.join(enough, "node").select("token", "n", "node").repartition("token").sortWithinPartitions("token", "n", "node")
+    candidates = stored(shared.mapInArrow(run("candidates_of", percent), "token long, leader long, node long"), "candidates")
+
+    pairs = stored(candidates.select("leader", "node").distinct(), "pairs")
     wanted = pairs.select("node").unionAll(pairs.select("leader")).distinct()
-    packed = docs.mapInArrow(on_executors("jaccard", "texts_of", k), "node long, packed binary")
+    marks = spark.sparkContext.broadcast(marked(wanted))
+    packed = docs.mapInArrow(run("texts_of", k, marks), "node long, packed binary")
     texts = stored(packed.groupBy("node").agg(F.first("packed").alias("packed")).join(wanted, "node", "left_semi"), "texts")
     from_leaders = _searched(
         pairs.select(F.col("leader").alias("block"), F.col("leader").alias("node"), F.lit(0).cast("long").alias("comp")).distinct(),
@@ -250,7 +311,6 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, k: int = WORDS, hot_to
     links = links.unionAll(stored(rest, "links"))
     roots = stored(connected_components(links), "roots")
 
-    own = facts.where("token is null").select("doc_id", "n_shingles", "node")
     placed = own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return placed.join(ids, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
