@@ -111,26 +111,49 @@ def divide_skip(lists: list[list[int]], threshold: int, mu: float = _MU) -> Iter
 
 
 def search(queries: list[tuple[int, int, np.ndarray]], index: list[tuple[int, int, np.ndarray]], percent: int) -> Iterator[tuple[int, int]]:
-    """Links between queries and indexed sets, each (node, component, set), that are not of one component."""
+    """Links between queries and indexed sets, each (node, component, set), that join all components which any link joins.
+
+    What is of a query's own component by now is left out of the inverted lists; they are cut anew when half of them has come to be.
+    """
     index = sorted(index, key=lambda x: len(x[2]))
-    sizes = np.array([len(s) for _, _, s in index])
+    sizes = np.array([len(s) for _, _, s in index], np.int64)
     tokens = np.concatenate([s for _, _, s in index]) if index else np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(len(index)), sizes) if index else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(index)), sizes)
     order = np.argsort(tokens, kind="stable")
     tokens, owner = tokens[order], owner[order]
-    for node, comp, s in queries:
+    number: dict[int, int] = {}
+    comp = np.array([number.setdefault(c, len(number)) for _, c, _ in index], np.int64)
+    asks = [number.setdefault(c, len(number)) for _, c, _ in queries]
+    now = np.arange(len(number))  # the component that each is in by now
+    for own, (node, _, s) in zip(asks, queries, strict=True):
         lo, hi = np.searchsorted(sizes, [-(-percent * len(s) // 100), len(s) * 100 // percent + 1])
-        if lo >= hi:
-            continue
         start, end = np.searchsorted(tokens, s, "left"), np.searchsorted(tokens, s, "right")
-        t = required(len(s), int(sizes[lo]), percent)
-        full = end > start
-        if full.sum() < t:
+        start, end = start[end > start], end[end > start]
+        t = required(len(s), int(sizes[lo]), percent) if lo < hi else 0
+        if lo >= hi or len(start) < t:
             continue
-        lists = [owner[a:b].tolist() for a, b in zip(start[full], end[full], strict=True)]
-        for k, count in divide_skip(lists, t):
-            if lo <= k < hi and count >= required(len(s), int(sizes[k]), percent) and index[k][1] != comp:
+        held = np.concatenate([owner[a:b] for a, b in zip(start, end, strict=True)])
+        which = np.repeat(np.arange(len(start)), end - start)
+        done = np.zeros(len(index), bool)
+        while True:
+            alive = ~done & (now[comp] != now[own])
+            alive[:lo] = alive[hi:] = False
+            if not (left := int(alive.sum())):
+                break
+            keep = alive[held]
+            cuts = np.searchsorted(which[keep], np.arange(len(start) + 1))
+            ids = held[keep].tolist()
+            again = False
+            for k, count in divide_skip([ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], t):
+                if now[comp[k]] == now[own] or count < required(len(s), int(sizes[k]), percent):
+                    continue
                 yield node, index[k][0]
+                now[now == now[comp[k]]] = now[own]
+                done[: k + 1] = True
+                if again := int((~done & (now[comp] != now[own]))[lo:hi].sum()) < left // 2:
+                    break
+            if not again:
+                break
 
 
 def facts_of(batches, least: int, k: int):
@@ -293,8 +316,8 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, k: int = WORDS, hot_to
     packed = docs.mapInArrow(run("texts_of", k, marks), "node long, packed binary")
     texts = stored(packed.groupBy("node").agg(F.first("packed").alias("packed")).join(wanted, "node", "left_semi"), "texts")
     from_leaders = _searched(
-        pairs.select(F.col("leader").alias("block"), F.col("leader").alias("node"), F.lit(0).cast("long").alias("comp")).distinct(),
-        pairs.select(F.col("leader").alias("block"), "node", F.lit(1).cast("long").alias("comp")),
+        pairs.select(F.col("leader").alias("block"), F.col("leader").alias("node"), F.col("leader").alias("comp")).distinct(),
+        pairs.select(F.col("leader").alias("block"), "node", F.col("node").alias("comp")),
         texts, percent, k, block,
     )
     links = stored(from_leaders, "links")
