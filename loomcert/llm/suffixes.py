@@ -39,7 +39,7 @@ FULL, EDGE = 0, 1
 _EXACT = _BYTE.copy()
 _EXACT[65:91] = np.random.default_rng(20240302).integers(1, 2**64 - 1, 26, dtype=np.uint64)  # here A-Z aren't a-z
 
-_ANCHORS = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("row", pa.int64()), ("run", pa.int64())])
+_ANCHORS = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("row", pa.int64()), ("run", pa.int64()), ("told", pa.bool_())])
 _VERDICTS = pa.schema([("key", pa.int64()), ("row", pa.int64()), ("run", pa.int64()), ("kind", pa.int32())])
 _BASE = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_bytes", pa.int64()), ("sha256", pa.string())])
 _TEXTS = pa.schema([("row", pa.int64()), ("n_bytes", pa.int64()), ("packed", pa.binary())])
@@ -91,7 +91,10 @@ def runs(a: np.ndarray, h: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray
 
 
 def anchors_of(batches, length: int):
-    """A run is packed as 256 * its first start + its number of further starts, of which there are at most length // 2."""
+    """A run is packed as 256 * its first start + its number of further starts, of which there are at most length // 2.
+
+    Of runs with the same content in a batch only the first goes on to be compared; all of them are told at once to repeat.
+    """
     w = length // 2
     for batch in batches:
         out = []
@@ -104,7 +107,12 @@ def anchors_of(batches, length: int):
             content = string_hashes(h, lo, hi + length) + mix((at - lo).astype(np.uint64))
             out.append((string_hashes(h, at, at + w).view(np.int64), content.view(np.int64), np.full(len(at), row), lo * 256 + hi - lo))
         if out:
-            yield to_batch(_ANCHORS, *(np.concatenate(x) for x in zip(*out, strict=True)))
+            key, content, row, run = (np.concatenate(x) for x in zip(*out, strict=True))
+            order = np.lexsort((content, key))
+            new = np.append(True, (key[order[1:]] != key[order[:-1]]) | (content[order[1:]] != content[order[:-1]]))
+            first = order[new]
+            several = order[np.repeat(np.diff(np.append(np.flatnonzero(new), len(order))) > 1, np.diff(np.append(np.flatnonzero(new), len(order))))]
+            yield to_batch(_ANCHORS, *(np.concatenate([x[first], x[several]]) for x in (key, content, row, run)), np.repeat([False, True], [len(first), len(several)]))
 
 
 def base_of(batches):
@@ -114,13 +122,18 @@ def base_of(batches):
 
 
 def verdicts_of(batches):
-    """Rows in the order of (key, content): FULL for every row of a content that has several, EDGE for the first row of every content of a key that has several.
+    """Rows in the order of (told, key, content), those that are told just go on. Of others: FULL for every row of a content that has several, EDGE for the first row of every content of a key that has several.
 
     Kept from batch to batch: the last row, the key's first row, and whether that is the only content so far.
     """
     last = lead = None  # (key, content, row, run, starts a content), (row, run, is the key's only content)
     for batch in batches:
-        key, content, row, run = (c.to_numpy() for c in batch.columns)
+        told = column(batch, "told")
+        if told.true_count:
+            gone = batch.filter(told)
+            yield to_batch(_VERDICTS, column(gone, "key"), column(gone, "row"), column(gone, "run"), np.full(len(gone), FULL, np.int32))
+            batch = batch.filter(pa.array(~told.to_numpy(zero_copy_only=False)))
+        key, content, row, run = (column(batch, c).to_numpy() for c in ("key", "content", "row", "run"))
         if not len(key):
             continue
         if last is not None:
@@ -297,9 +310,10 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, wi
     """
     docs = with_row(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     run = lambda name, *args: on_executors("suffixes", name, *args)
-    anchors = docs.select("row", "text").mapInArrow(run("anchors_of", length), "key long, content long, row long, run long")
+    anchors = docs.select("row", "text").mapInArrow(run("anchors_of", length), "key long, content long, row long, run long, told boolean")
+    dealt = anchors.repartition(F.when(F.col("told"), F.xxhash64("row", "run")).otherwise(F.col("key")))
     verdicts = stored(
-        anchors.repartition("key").sortWithinPartitions("key", "content").mapInArrow(run("verdicts_of"), "key long, row long, run long, kind int"), "verdicts"
+        dealt.sortWithinPartitions("told", "key", "content").mapInArrow(run("verdicts_of"), "key long, row long, run long, kind int"), "verdicts"
     )
     edges = verdicts.where(F.col("kind") == EDGE)
     crowds = edges.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("key", F.lit(True).alias("crowded"))
