@@ -265,6 +265,20 @@ def links_of(batches, percent: int, k: int):
     yield to_batch(_LINKS, [a for a, _ in links], [b for _, b in links])
 
 
+def most_used(uses: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of at least so many uses that there are `most` of them or fewer, in their order, and the uses. All 10,000 uses and more count alike here."""
+    levels = sorted(((r.u, r.n) for r in uses.groupBy(F.least("uses", F.lit(10_000)).alias("u")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    least, total = 10_001, 0
+    for u, n in levels:
+        if (total := total + n) > most:
+            break
+        least = u
+    got = uses.where(F.col("uses") >= least).toArrow()
+    token = got.column("token").to_numpy().view(np.uint64)
+    order = np.argsort(token)
+    return token[order], got.column("uses").to_numpy()[order]
+
+
 def marked(nodes: DataFrame) -> np.ndarray:
     """A fixed number of marks by the nodes' low bits, to leave out most other rows early. Its size doesn't depend on the data."""
     low = nodes.select(F.col("node").bitwiseAND(_MARKS - 1).alias("b"))
@@ -296,10 +310,8 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, k: int = WORDS, hot_to
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     facts = stored(docs.mapInArrow(on_executors("jaccard", "facts_of", hot_least, k), "doc_id long, n_shingles long, node long, token long, uses long"), "facts")
-    uses = facts.where("token is not null").groupBy("token").agg(F.sum("uses").alias("uses")).orderBy(F.desc("uses"), "token").limit(hot_tokens).toPandas()
-    token = uses["token"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(token)
-    hot = spark.sparkContext.broadcast((token[order], uses["uses"].to_numpy(np.int64)[order]))
+    uses = stored(facts.where("token is not null").groupBy("token").agg(F.sum("uses").alias("uses")), "uses")
+    hot = spark.sparkContext.broadcast(most_used(uses, hot_tokens))
     postings = docs.mapInArrow(on_executors("jaccard", "postings_of", hot, percent, k), "token long, node long")
     own = facts.where("token is null").select("doc_id", "n_shingles", "node")
     run = lambda name, *args: on_executors("jaccard", name, *args)
