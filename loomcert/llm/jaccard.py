@@ -309,7 +309,7 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, k: int = WORDS, hot_to
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    facts = stored(docs.mapInArrow(on_executors("jaccard", "facts_of", hot_least, k), "doc_id long, n_shingles long, node long, token long, uses long"), "facts")
+    facts = stored(docs.mapInArrow(on_executors("jaccard", "facts_of", hot_least, k, mb=24), "doc_id long, n_shingles long, node long, token long, uses long"), "facts")
     uses = stored(facts.where("token is not null").groupBy("token").agg(F.sum("uses").alias("uses")), "uses")
     hot = spark.sparkContext.broadcast(most_used(uses, hot_tokens))
     postings = docs.mapInArrow(on_executors("jaccard", "postings_of", hot, percent, k), "token long, node long")

@@ -260,8 +260,10 @@ def starts_of(batches, length: int):
     def settle():
         found: dict[int, list[int]] = {}
         for (_, row, lo, *_), x in zip(held, repeated_starts([i[3:] for i in held], length), strict=True):
-            if len(x):
-                found.setdefault(row, []).extend((x + lo).tolist())
+            if len(x):  # as runs of neighbouring starts
+                first = np.flatnonzero(np.append(True, np.diff(x) > 1))
+                last = np.append(first[1:], len(x)) - 1
+                found.setdefault(row, []).extend(((x[first] + lo) * 256 + x[last] - x[first]).tolist())
         return to_batch(_STARTS, list(found), list(found.values()))
 
     for batch in batches:
@@ -282,10 +284,10 @@ def cut_of(batches, length: int, with_text: bool):
         out = []
         for row, packed, full, starts in zip(*(column(batch, c).to_pylist() for c in ("row", "packed", "full", "starts")), strict=True):
             a = np.frombuffer(unpack.decompress(packed), np.uint8)
-            full, starts = np.array(full or [], np.int64), np.array(starts or [], np.int64)
+            run = np.array((full or []) + (starts or []), np.int64)
             edge = np.zeros(len(a) + 1, np.int64)
-            np.add.at(edge, np.concatenate([full >> 8, starts]), 1)
-            np.add.at(edge, np.concatenate([(full >> 8) + (full & 255), starts]) + length, -1)
+            np.add.at(edge, run >> 8, 1)
+            np.add.at(edge, (run >> 8) + (run & 255) + length, -1)
             gone = np.cumsum(edge)[:-1] > 0
             kept = a[~gone].tobytes()
             out.append((row, int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None))
@@ -335,8 +337,8 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, wi
     starts = contents.repartition("key").sortWithinPartitions("key").mapInArrow(run("starts_of", length), "row long, starts array<long>")
     strings = stored(texts.select("row", "packed", "edges").mapInArrow(run("strings_of", length), "string long, row long, start long"), "strings")
     twice = strings.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
-    starts = starts.select("row", F.explode("starts").alias("start")).unionByName(strings.join(twice, "string").select("row", "start"))
-    starts = starts.groupBy("row").agg(F.collect_list("start").alias("starts"))
+    crowded = strings.join(twice, "string").groupBy("row").agg(F.collect_list(F.col("start") * 256).alias("starts"))
+    starts = starts.unionByName(crowded).groupBy("row").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     cut = texts.select("row", "packed", "full").join(starts, "row", "left").mapInArrow(
         run("cut_of", length, with_text), "row long, n_removed long, n_spans long, kept_sha256 string, kept string"
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -10,13 +11,15 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+_LIBC = ctypes.CDLL(None)
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 
-def on_executors(module: str, name: str, *args) -> Callable:
+def on_executors(module: str, name: str, *args, mb: int = 8) -> Callable:
     """A function for mapInArrow that calls loomcert.llm.<module>.<name>(batches, *args) where it runs.
 
-    It is pickled by value and imports by name, so that what a module keeps (tables, models) stays for a worker's later tasks.
+    It is pickled by value and imports by name, so that what a module keeps (tables, models) stays for a worker's later tasks. Batches come
+    in slices of about `mb` MB, and what is free after each goes back to the system, since a worker stays for many stages.
     """
     root, module = _ROOT, f"loomcert.llm.{module}"
 
@@ -26,11 +29,28 @@ def on_executors(module: str, name: str, *args) -> Callable:
 
         if root not in sys.path:
             sys.path.append(root)
-        return getattr(importlib.import_module(module), name)(batches, *args)
+        util = importlib.import_module("loomcert.llm.util")
+        yield from getattr(importlib.import_module(module), name)(util.sliced(batches, mb << 20), *args)
+        util.give_back()
 
     return run
 
 
+def sliced(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = max(1, len(batch) * size // max(batch.nbytes, 1))
+        for k in range(0, len(batch), rows):
+            yield batch.slice(k, rows)
+        give_back()
+
+
+def give_back() -> None:
+    """Returns free memory to the system where the C library can."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
