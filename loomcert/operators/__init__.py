@@ -4,6 +4,6 @@
 def core_queries() -> tuple[dict, dict]:
     """The registered queries and their oracles."""
     from ..plans.registry import ORACLES, QUERIES
-    from . import basics, certify, graph, tpch  # noqa: F401
+    from . import bags, basics, certify, graph, tpch  # noqa: F401
 
     return dict(QUERIES), dict(ORACLES)
