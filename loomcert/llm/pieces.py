@@ -167,7 +167,7 @@ class Codec:
             for k in range(0, len(own), step):
                 part = own[k : k + step]
                 self.known.update(zip(part, self.merge(part), strict=True))
-        own = [u for u in units if u[0] == SPACE]
+        own = [u for u in units if u[0] == SPACE and len(u) > 1]  # a text of nothing gets no space in front
         for u, ids in zip(own, self.library.encode([u[1:].replace(SPACE, " ") for u in own], num_threads=1), strict=True):
             if np.array(ids, "<u4").tobytes() != self.known[u]:
                 raise ValueError(f"unit {u!r}: {np.frombuffer(self.known[u], '<u4').tolist()}; the library has {ids}")
