@@ -1,0 +1 @@
+"""Nothing here: the scope has no streams."""
