@@ -258,5 +258,5 @@ def encode_decode(docs: DataFrame, path: str, begin: bool = True, end: bool = Tr
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(
-        on_executors("pieces", "coded_of", path, begin, end, with_values), "doc_id long, n_tokens long, ids binary, decoded string, ids_sha256 string, decoded_sha256 string"
+        on_executors("pieces", "coded_of", path, begin, end, with_values, mb=64), "doc_id long, n_tokens long, ids binary, decoded string, ids_sha256 string, decoded_sha256 string"
     )
