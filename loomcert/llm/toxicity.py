@@ -1,9 +1,11 @@
 """Toxicity by compression distance: zstandard dictionaries of ordinary and of toxic text, window by window.
 
-The ordinary dictionary is trained on the labelled texts without the label, the toxic one on what sets the texts with it apart: their
-words that ordinary texts hardly have. A window's distance is the number of bytes that its compression saves when the toxic
-dictionary stands before the ordinary one; it is 0 where toxic text is of no help. The largest distances of a text and the
-numbers of windows over thresholds are calibrated to a probability, on labelled texts that the dictionaries have not seen.
+The ordinary dictionary is trained on the labelled texts without the label, the toxic one on what sets the texts with it apart: the
+runs of their strings of 5 to 8 bytes, within a word, that ordinary texts hardly have. A window's distance is the number of bytes that
+its compression saves when the toxic dictionary stands before the ordinary one; it is 0 where toxic text is of no help. Each window
+is compressed behind a fixed string that both dictionaries end with, so that its first match costs no more than the later ones. The
+largest distances of a text and the numbers of windows over thresholds are calibrated to a probability, on labelled texts that the
+dictionaries have not seen.
 
 The fit takes a bounded sample of labelled rows (`ordinary` and `toxic` at most, those with the least hash of their id); every
 text is then scored whole, without a shuffle.
@@ -11,13 +13,12 @@ text is then scored whole, without a shuffle.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shingles import _SEPARATOR
@@ -27,11 +28,13 @@ WINDOW = 32
 ORDINARY = 5000
 TOXIC = 2000
 ORDINARY_BYTES = 112640
-TOXIC_BYTES = 4096
-SAMPLE_BYTES = 1 << 18
+TOXIC_BYTES = 2048
+SAMPLE_BYTES = 1 << 16
 RATIO = 60
+GRAMS = (5, 6, 7, 8)
+PRIME = bytes(range(1, 17))
 _LEVEL = 12
-_WORD = re.compile(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
+_LETTER = np.array([c > 127 or chr(c).isalpha() for c in range(256)])
 _compressors: dict[bytes, tuple] = {}
 
 
@@ -55,6 +58,18 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(compression_params=p, dict_data=d)
 
 
+def _primed(data: bytes, s: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The windows, each after PRIME, and where they lie in that: a first match then costs a window no more than a later one."""
+    n = s[:, 1].astype(np.int64) + len(PRIME)
+    start = np.append(0, np.cumsum(n)[:-1])
+    body = np.ones(n.sum(), bool)
+    body[(start[:, None] + np.arange(len(PRIME))).ravel()] = False
+    out = np.empty(len(body), np.uint8)
+    out[body] = np.frombuffer(data, np.uint8)
+    out[~body] = np.tile(np.frombuffer(PRIME, np.uint8), len(s))
+    return out.tobytes(), np.stack([start, n], 1).astype("<u8")
+
+
 def _lengths(compressor: zstandard.ZstdCompressor, data: bytes, segments: np.ndarray) -> np.ndarray:
     got = compressor.multi_compress_to_buffer(zstandard.BufferWithSegments(data, segments.tobytes()), threads=1)
     return np.fromiter((len(got[k]) for k in range(len(got))), np.int64, len(got))
@@ -70,10 +85,12 @@ class Model:
         key = self.ordinary + self.toxic
         if key not in _compressors:
             _compressors.clear()
-            _compressors[key] = _compressor(self.ordinary), _compressor(self.toxic + self.ordinary)
+            _compressors[key] = _compressor(self.ordinary + PRIME), _compressor(self.toxic + self.ordinary + PRIME)
         plain, both = _compressors[key]
         data = data.lower()
         s = windows(data)
+        if len(s):
+            data, s = _primed(data, s)
         saved = np.sort(_lengths(plain, data, s) - _lengths(both, data, s))[::-1] if len(s) else np.zeros(1, np.int64)
         top = np.append(saved[:3], [0, 0, 0])[:3]
         over = [float(np.log1p((saved >= k).sum())) for k in (2, 3, 4)]
@@ -103,6 +120,70 @@ def _dictionary(size: int, samples: list[bytes]) -> bytes:
         return b"".join(samples)[-size:] or b" " * 8
 
 
+def _grams(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text, offset) of the strings of n bytes that have no separator but as first or last byte; texts get a separator on each side."""
+    a = np.frombuffer(b" " + b"  ".join(texts) + b" ", np.uint8)
+    text = np.repeat(np.arange(len(texts)), [len(t) + 2 for t in texts])
+    offset = np.concatenate([np.arange(len(t) + 2) for t in texts]) if texts else text
+    if len(a) < n:
+        return np.zeros(0, np.uint64), text[:0], offset[:0]
+    gap = ~_LETTER[a]
+    inside = np.append(0, np.cumsum(gap))
+    at = np.arange(len(a) - n + 1)
+    at = at[(inside[at + n - 1] == inside[at + 1]) & (text[at] == text[at + n - 1])]
+    h = np.zeros(len(at), np.uint64)
+    for k in range(n):
+        h = (h ^ np.where(gap[at + k], 32, a[at + k]).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h, text[at], offset[at]
+
+
+def _texts_with(h: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes, and in how many texts each is."""
+    order = np.lexsort((text, h))
+    h, text = h[order], text[order]
+    first = np.append(True, (h[1:] != h[:-1]) | (text[1:] != text[:-1]))[: len(h)]
+    return np.unique(h[first], return_counts=True)
+
+
+def _lots(texts: list[bytes], size: int = 1 << 22) -> list[list[bytes]]:
+    """The texts in lots of about `size` bytes."""
+    lot = np.cumsum([0, *map(len, texts)])[:-1] // size
+    return [texts[a:b] for a, b in pairwise([*np.flatnonzero(np.diff(lot, prepend=-1)), len(texts)])]
+
+
+def apart(toxic: list[bytes], ordinary: list[bytes]) -> list[np.ndarray]:
+    """For each toxic text the bytes, as a mask over it with a separator on each side, of strings that ordinary texts hardly have."""
+    masks = [np.zeros(len(t) + 2, bool) for t in toxic]
+    least = max(3 if len(toxic) < 150 else 5, 0.004 * len(toxic))
+    for n in GRAMS:
+        h, text, offset = _grams(toxic, n)
+        keys, seen = _texts_with(h, text)
+        keys, seen = keys[seen >= least], seen[seen >= least]
+        if not len(keys):
+            continue
+        plain = np.zeros(len(keys))
+        for part in _lots(ordinary):
+            g, owner, _ = _grams(part, n)
+            known = keys[np.minimum(np.searchsorted(keys, g), len(keys) - 1)] == g
+            found, count = _texts_with(g[known], owner[known])
+            plain[np.searchsorted(keys, found)] += count
+        keys = keys[(seen + 0.5) / (len(toxic) + 1) > RATIO * (plain + 0.5) / (len(ordinary) + 1)]
+        if len(keys):
+            own = keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h
+            for t, o in zip(text[own], offset[own], strict=True):
+                masks[t][o : o + n] = True
+    return masks
+
+
+def told_apart(text: bytes, mask: np.ndarray) -> list[bytes]:
+    """The marked runs of a text with separators around it, in threes that overlap."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8)))
+    whole = b" " + text + b" "
+    runs = [whole[a:b].strip() for a, b in zip(edge[::2], edge[1::2], strict=True)]
+    return [b" " + b" ".join(runs[k : k + 3]) + b" " for k in range(0, len(runs), 2)]
+
+
 def fit_texts(texts: list[bytes], labels: list[int], held: list[int]) -> Model:
     """held: an even number for each text, by which a third is kept from the dictionaries for the calibration."""
     texts, y = [t.lower() for t in texts], np.array(labels, float)
@@ -110,14 +191,8 @@ def fit_texts(texts: list[bytes], labels: list[int], held: list[int]) -> Model:
     if y[~own].sum() < 60:  # too few to hold any back
         own[:] = True
     ordinary, toxic = [t for t, k, o in zip(texts, y, own, strict=True) if o and not k], [t for t, k, o in zip(texts, y, own, strict=True) if o and k]
-    seen, plain = Counter(w for t in toxic for w in set(_WORD.findall(t))), Counter(w for t in ordinary for w in set(_WORD.findall(t)))
-    least = max(3 if len(toxic) < 150 else 5, 0.004 * len(toxic))
-    apart = {w for w, n in seen.items() if n >= least and (n + 0.5) / (len(toxic) + 1) > RATIO * (plain[w] + 0.5) / (len(ordinary) + 1)}
-    if not apart:
-        apart = {w for w, n in seen.items() if n >= 2 and not plain[w]}
-    told = [[w for w in _WORD.findall(t) if w in apart] for t in toxic]
-    told = [b" " + b" ".join(ws[k : k + 3]) + b" " for ws in told for k in range(0, len(ws), 2)]
-    model = Model(_dictionary(ORDINARY_BYTES, [t[k : k + 400] for t in ordinary for k in range(0, len(t), 400)]), _dictionary(TOXIC_BYTES, [t for t in told if len(t) >= 8]), np.zeros(1), np.ones(1), np.zeros(1))
+    told = [r for t, rs in zip(dict.fromkeys(toxic), apart(list(dict.fromkeys(toxic)), list(dict.fromkeys(ordinary))), strict=True) for r in told_apart(t, rs)]
+    model = Model(_dictionary(ORDINARY_BYTES, [t[k : k + 400] for t in ordinary for k in range(0, len(t), 400)]), _dictionary(TOXIC_BYTES, told), np.zeros(1), np.ones(1), np.zeros(1))
     on = ~own if (~own).any() else own
     x = np.array([model.features(t) for t, o in zip(texts, on, strict=True) if o]).reshape(-1, 8)
     if not len(x):
@@ -134,9 +209,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, ordinary: int = ORDIN
     """
     marked = labels.where(learn & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     there = docs.where(learn & F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES)).select("doc_id").distinct()
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ranked = marked.join(there, "doc_id", "left_semi").withColumn("k", F.row_number().over(order))
-    ids = ranked.where(F.col("k") <= F.when(F.col("toxic") == 1, toxic).otherwise(ordinary)).select("doc_id", "toxic").limit(ordinary + toxic)
+    usable = marked.join(there, "doc_id", "left_semi")
+    least = [usable.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for label, n in ((0, ordinary), (1, toxic))]
+    ids = least[0].union(least[1])
     chosen = docs.where(learn & F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     got = sorted((r.doc_id, r.toxic, r.text.encode()) for r in chosen.dropDuplicates(["doc_id"]).collect())
     return fit_texts([t for *_, t in got], [y for _, y, _ in got], [hash((i * 2654435761) >> 7 & 0xFFFF) for i, *_ in got])

@@ -157,6 +157,26 @@ def test_windows_cover_texts():
         assert b"".join(t[a : a + n] for a, n in w.tolist()) == t
 
 
+def test_strings_apart():
+    toxic = [b"the vequla one", b"", b"vequsse and vequla", b"vequn the one", b"x"] * 2
+    ordinary = [b"the one and all", b"sse and la la", b""] * 40
+    got = toxicity.apart(toxic, ordinary)
+    for t, mask in zip(toxic, got, strict=True):
+        whole, expected = b" " + t + b" ", [False] * (len(t) + 2)
+        for n in toxicity.GRAMS:
+            for k in range(len(whole) - n + 1):
+                g = whole[k : k + n]
+                seen, plain = sum(g in b" " + x + b" " for x in toxic), sum(g in b" " + x + b" " for x in ordinary)
+                if b" " not in g[1:-1] and seen >= 3 and (seen + 0.5) / (len(toxic) + 1) > toxicity.RATIO * (plain + 0.5) / (len(ordinary) + 1):
+                    expected[k : k + n] = [True] * n
+        assert mask.tolist() == expected
+    assert any(m.any() for m in got) and toxicity.told_apart(toxic[0], got[0])
+    assert toxicity.apart([], ordinary) == [] and not any(m.any() for m in toxicity.apart([b"", b"abc"], []))
+    x = b"one two three four five six seven eight nine ten"
+    parts, s = toxicity._primed(x, toxicity.windows(x))
+    assert b"".join(parts[a + len(toxicity.PRIME) : a + n] for a, n in s.tolist()) == x
+
+
 def test_quality(spark, documents, odd, none):
     model = quality.fit(documents)
     labels = spark.read.parquet(f"{ROOT}/labels.parquet")
