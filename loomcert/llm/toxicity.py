@@ -123,14 +123,14 @@ def _dictionary(size: int, samples: list[bytes]) -> bytes:
 def _grams(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, text, offset) of the strings of n bytes that have no separator but as first or last byte; texts get a separator on each side."""
     a = np.frombuffer(b" " + b"  ".join(texts) + b" ", np.uint8)
-    text = np.repeat(np.arange(len(texts)), [len(t) + 2 for t in texts])
-    offset = np.concatenate([np.arange(len(t) + 2) for t in texts]) if texts else text
+    text = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) + 2 for t in texts])
+    offset = np.concatenate([np.arange(len(t) + 2, dtype=np.int32) for t in texts]) if texts else text
     if len(a) < n:
         return np.zeros(0, np.uint64), text[:0], offset[:0]
     gap = ~_LETTER[a]
-    inside = np.append(0, np.cumsum(gap))
-    at = np.arange(len(a) - n + 1)
-    at = at[(inside[at + n - 1] == inside[at + 1]) & (text[at] == text[at + n - 1])]
+    inside = np.append(np.int32(0), np.cumsum(gap, dtype=np.int32))
+    last = len(a) - n + 1
+    at = np.flatnonzero((inside[n - 1 : n - 1 + last] == inside[1 : 1 + last]) & (text[:last] == text[n - 1 :])).astype(np.int32)
     h = np.zeros(len(at), np.uint64)
     for k in range(n):
         h = (h ^ np.where(gap[at + k], 32, a[at + k]).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
@@ -146,7 +146,7 @@ def _texts_with(h: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.unique(h[first], return_counts=True)
 
 
-def _lots(texts: list[bytes], size: int = 1 << 22) -> list[list[bytes]]:
+def _lots(texts: list[bytes], size: int = 1 << 20) -> list[list[bytes]]:
     """The texts in lots of about `size` bytes."""
     lot = np.cumsum([0, *map(len, texts)])[:-1] // size
     return [texts[a:b] for a, b in pairwise([*np.flatnonzero(np.diff(lot, prepend=-1)), len(texts)])]
