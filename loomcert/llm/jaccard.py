@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shingles import WORDS, set_id, shingle_set
+from .suffixes import with_row
 from .util import column, on_executors, stored, to_batch, utf8
 
 PERCENT = 80
@@ -39,7 +40,7 @@ HOT_TOKENS = 1 << 19
 BLOCK = 2048
 _MU = 0.03
 
-_FACTS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("token", pa.int64()), ("uses", pa.int64())])
+_FACTS = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("token", pa.int64()), ("uses", pa.int64())])
 _POSTINGS = pa.schema([("token", pa.int64()), ("node", pa.int64())])
 _CANDIDATES = pa.schema([("token", pa.int64()), ("leader", pa.int64()), ("node", pa.int64())])
 _MARKS = 1 << 24
@@ -160,12 +161,12 @@ def facts_of(batches, least: int, k: int):
     for batch in batches:
         sets = [shingle_set(t or b"", k) for t in utf8(batch)]
         nodes = [set_id(s) if len(s) else None for s in sets]
-        yield to_batch(_FACTS, column(batch, "doc_id"), [len(s) for s in sets], nodes, pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.int64()))
+        yield to_batch(_FACTS, column(batch, "doc_id"), column(batch, "row"), [len(s) for s in sets], nodes, pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.int64()))
         once = {n: s for n, s in zip(nodes, sets, strict=True) if n is not None}
         if once:
             token, uses = np.unique(np.concatenate(list(once.values())), return_counts=True)
             token, uses = token[uses >= least].view(np.int64), uses[uses >= least]
-            yield to_batch(_FACTS, pa.nulls(len(token), pa.int64()), pa.nulls(len(token), pa.int64()), pa.nulls(len(token), pa.int64()), token, uses)
+            yield to_batch(_FACTS, *(pa.nulls(len(token), pa.int64()) for _ in range(4)), token, uses)
 
 
 def postings_of(batches, hot, percent: int, k: int):
@@ -299,21 +300,15 @@ def _searched(queries: DataFrame, index: DataFrame, texts: DataFrame, percent: i
     return rows.repartition("block", "part").sortWithinPartitions("block", "part").mapInArrow(on_executors("jaccard", "links_of", percent, k), "u long, v long")
 
 
-def jaccard_join(docs: DataFrame, percent: int = PERCENT, k: int = WORDS, hot_tokens: int = HOT_TOKENS, hot_least: int = 2, block: int = BLOCK) -> DataFrame:
-    """A row for each row of docs (doc_id long, text string): doc_id, n_shingles, component_id.
-
-    Documents link if 100 * |A & B| >= percent * |A | B| for their sets of distinct k-word shingles; component_id is the least
-    doc_id reachable. Null, empty and wordless texts have no shingles and are alone, as are rows whose text is unlike all
-    others. Rows with the same doc_id are documents of their own that share an id. A null doc_id never is a component's id
-    if the component has another. Other columns are not read. An empty table gives an empty result.
-    """
+def _placed(docs: DataFrame, percent: int, k: int, hot_tokens: int, hot_least: int, block: int) -> DataFrame:
+    """A row for each row of docs: doc_id, row, n_shingles, root. Rows of one component have one root, those without shingles none."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    facts = stored(docs.mapInArrow(on_executors("jaccard", "facts_of", hot_least, k, mb=24), "doc_id long, n_shingles long, node long, token long, uses long"), "facts")
+    facts = stored(with_row(docs).mapInArrow(on_executors("jaccard", "facts_of", hot_least, k, mb=24), "doc_id long, row long, n_shingles long, node long, token long, uses long"), "facts")
     uses = stored(facts.where("token is not null").groupBy("token").agg(F.sum("uses").alias("uses")), "uses")
     hot = spark.sparkContext.broadcast(most_used(uses, hot_tokens))
     postings = docs.mapInArrow(on_executors("jaccard", "postings_of", hot, percent, k), "token long, node long")
-    own = facts.where("token is null").select("doc_id", "n_shingles", "node")
+    own = facts.where("token is null").select("doc_id", "row", "n_shingles", "node")
     run = lambda name, *args: on_executors("jaccard", name, *args)
     shared = stored(postings.repartition("token").sortWithinPartitions("token", "node").mapInArrow(run("shared_of"), "token long, node long"), "shared")
     sizes = own.where("node is not null").groupBy("node").agg(F.min("n_shingles").alias("n"))
@@ -346,6 +341,33 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, k: int = WORDS, hot_to
     links = links.unionAll(stored(rest, "links"))
     roots = stored(connected_components(links), "roots")
 
-    placed = own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return own.join(roots, "node", "left").select("doc_id", "row", "n_shingles", F.coalesce("root", "node").alias("root"))
+
+
+def jaccard_join(docs: DataFrame, percent: int = PERCENT, k: int = WORDS, hot_tokens: int = HOT_TOKENS, hot_least: int = 2, block: int = BLOCK) -> DataFrame:
+    """A row for each row of docs (doc_id long, text string): doc_id, n_shingles, component_id.
+
+    Documents link if 100 * |A & B| >= percent * |A | B| for their sets of distinct k-word shingles; component_id is the least
+    doc_id reachable. Null, empty and wordless texts have no shingles and are alone, as are rows whose text is unlike all
+    others. Rows with the same doc_id are documents of their own that share an id. A null doc_id never is a component's id
+    if the component has another. Other columns are not read. An empty table gives an empty result.
+    """
+    placed = _placed(docs, percent, k, hot_tokens, hot_least, block)
     ids = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return placed.join(ids, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, percent: int = PERCENT, k: int = WORDS, hot_tokens: int = HOT_TOKENS, hot_least: int = 2, block: int = BLOCK) -> DataFrame:
+    """The rows of docs (doc_id, text, any others), with all columns: of each component one, the others go; rows without shingles stay.
+
+    It is one with the least doc_id, and of several such texts the one with the least hash; a null doc_id comes last. Of repeated rows
+    (same doc_id and text) any one stands for all.
+    """
+    each = stored(_placed(docs, percent, k, hot_tokens, hot_least, block).where("root is not null").groupBy("root", "row").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "each")
+    first = each.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "row")).alias("first"))
+    judged = each.join(first, "root").select("row", "n", (F.col("row") == F.col("first.row")).alias("stays"))
+    gone = stored(judged.where("not stays or n > 1").select(F.col("row").alias("__row"), "stays"), "gone")
+    again = stored(gone.where("stays").select("__row"), "again")
+    rows = with_row(docs, "__row")
+    once = rows.join(gone.select("__row"), "__row", "left_anti").select(docs.columns)
+    return once.unionByName(rows.join(again, "__row", "left_semi").dropDuplicates(["__row"]).select(docs.columns))

@@ -73,6 +73,22 @@ def test_jaccard(spark, documents, odd, block):
     assert Counter(map(tuple, got)) == plain_components(rows)
 
 
+def test_near_duplicates_go_by_row(spark):
+    """Repeated rows, copies without an id, and an id that a near copy and another text share: one row of each component stays."""
+    import corpus_pipeline
+
+    words = lambda c, n=80: " ".join(f"{c}{k}" for k in range(n))
+    rows = [(1, words("a")), (1, words("a")), (1, words("a")), (None, words("a")), (None, words("b")), (None, words("b")), (None, words("b") + " x"), (2, words("c")), (3, words("c") + " x"), (3, words("d")), (4, words("e")), (4, words("e") + " x"), (5, None), (5, None), (6, ""), (7, words("f"))]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], f"{SCHEMA}, n_chars int")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, ROOT)
+    assert kept.columns == docs.columns
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    plain = {(1, words("a")): 1, (2, words("c")): 1, (3, words("d")): 1, (5, None): 2, (6, ""): 1, (7, words("f")): 1}
+    assert {k: n for k, n in got.items() if k in plain} == plain
+    assert sorted((str(i), t[:2]) for i, t in got if (i, t) not in plain) == [("4", "e0"), ("None", "b0")] and sum(got.values()) == 9
+    assert corpus_pipeline.cut_repeats(spark, kept, ROOT).where("text = '' and n_chars = 0 and doc_id <> 6").count() == 0
+
+
 def test_jaccard_search_is_whole():
     rng = np.random.default_rng(1)
     lists = [sorted(set(rng.integers(0, 40, rng.integers(1, 30)).tolist())) for _ in range(12)]
