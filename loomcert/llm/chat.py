@@ -70,10 +70,14 @@ def format_chat(calls: DataFrame, results: DataFrame, others: DataFrame, schemas
     keys = ["conv_id", "call_id"]
     wrong = errors(F.col("name"), F.col("arguments"), schemas)
     canonical = F.to_json(F.try_parse_json("arguments"))
-    text = lambda c: F.regexp_extract(F.to_json(F.struct(F.col(c).cast("string").alias("v"))), r"^\{\"v\":(.*)\}$", 1)
+
+    def text(name: str) -> Column:
+        """A string in JSON, null where it is null: what stands in {"v":...}, cut by place, whatever characters it has."""
+        whole = F.to_json(F.struct(F.col(name).cast("string").alias("v")))
+        return F.when(F.col(name).isNotNull(), F.substring(whole, F.lit(6), F.char_length(whole) - 6))
 
     def field(key: str, value: Column) -> Column:
-        return F.when(value.isNotNull() & (value != ""), F.concat(F.lit(f'"{key}":'), value))
+        return F.concat(F.lit(f'"{key}":'), value)
 
     def json(*fields: Column) -> Column:
         return F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}"))

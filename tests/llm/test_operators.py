@@ -281,6 +281,19 @@ def test_chat(spark):
     assert chat.format_chat(calls.limit(0), results.limit(0), others.limit(0), schema).count() == 0
 
 
+def test_chat_keeps_any_character(spark):
+    import json
+
+    odd = ["a\u0085b", "\u2028", "c\u2029", "\r\n\x0b\x0c", '"}', "\\", "\U0001f92f", "", "null"]
+    calls = spark.createDataFrame([(k, 0, t, t, t, t, None) for k, t in enumerate(odd)], "conv_id long, turn long, role string, call_id string, name string, arguments string, after string")
+    results = spark.createDataFrame([(k, 1, t, t, t) for k, t in enumerate(odd)], "conv_id long, turn long, role string, call_id string, content string")
+    others = results.select("conv_id", "turn", "role", "content")
+    got = {(r.type, r.conv_id): json.loads(r.json) for r in chat.format_chat(calls, results, others, chat.ANSWER).collect()}
+    for k, t in enumerate(odd):
+        assert got["call", k] == {"arguments": None if t == "null" else t, "call_id": t, "name": t, "role": t, "type": "call", "valid": False}
+        assert got["result", k] == {"call_id": t, "content": t, "role": t, "type": "result"} and got["message", k] == {"content": t, "role": t, "type": "message"}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
