@@ -12,9 +12,12 @@ The plan, over whole texts:
    search (`divide_skip`) in the inverted lists of the sets that share a shingle with it.
 4. Sets that share a shingle, but neither is its leader, and that are not in one component by now: they are searched
    likewise in blocks, one for each component of leaders, cut to `block` sets a side.
-5. Components of all links, and the least doc_id of each.
+5. Components of these links, and the least doc_id of each.
+6. `jaccard_links` only: all sets of a component are compared with each other by counting in inverted lists, and each set's
+   links are counted there, so that no table of pairs is made.
 
-A group of near copies thus costs a search from one leader, not all pairs in it; no link between components is lost.
+Steps 3 and 4 only look for links that join components: a group of near copies costs them a search from one leader, not all
+pairs in it. Every link is within a component, so step 6 misses none.
 """
 
 from __future__ import annotations
@@ -46,6 +49,8 @@ _CANDIDATES = pa.schema([("token", pa.int64()), ("leader", pa.int64()), ("node",
 _MARKS = 1 << 24
 _TEXTS = pa.schema([("node", pa.int64()), ("packed", pa.binary())])
 _LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+_COUNTS = pa.schema([("node", pa.int64()), ("n_links", pa.int64())])
+_AT_ONCE = 1 << 21
 
 
 def required(a: int, b: int, percent: int = PERCENT) -> int:
@@ -266,6 +271,50 @@ def links_of(batches, percent: int, k: int):
     yield to_batch(_LINKS, [a for a, _ in links], [b for _, b in links])
 
 
+def count_links(queries: list[tuple[int, np.ndarray]], index: list[tuple[int, np.ndarray]], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many of the indexed sets each query is like, and the other way round; both (node, set). A node isn't compared with itself."""
+    sizes = np.array([len(s) for _, s in index], np.int64)
+    nodes = np.array([n for n, _ in index], np.int64)
+    tokens, owner = np.concatenate([s for _, s in index]), np.repeat(np.arange(len(index)), sizes)
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    asked, held = np.zeros(len(queries), np.int64), np.zeros(len(index), np.int64)
+    for j, (node, s) in enumerate(queries):
+        start = np.searchsorted(tokens, s, "left")
+        width = np.searchsorted(tokens, s, "right") - start
+        until = np.cumsum(width)
+        common = np.zeros(len(index), np.int64)
+        for a in range(0, int(until[-1]), _AT_ONCE):
+            at = np.arange(a, min(a + _AT_ONCE, int(until[-1])))
+            which = np.searchsorted(until, at, "right")
+            common += np.bincount(owner[at - until[which] + width[which] + start[which]], minlength=len(index))
+        like = ((100 + percent) * common >= percent * (len(s) + sizes)) & (nodes != node)
+        asked[j] = like.sum()
+        held += like
+    return asked, held
+
+
+def counts_of(batches, percent: int, k: int):
+    """Rows (root, low, high, own, node, packed) in the order of root, low, high: the sets of two parts of a component, or of one."""
+    unpack = zstandard.ZstdDecompressor()
+    now, sides = None, ({}, {})
+
+    def settle():
+        a, b = (list(x.items()) for x in sides)
+        if now is None or not a or not (b or now[1] == now[2]):
+            return to_batch(_COUNTS, [], [])
+        asked, held = count_links(a, b or a, percent)
+        return to_batch(_COUNTS, [n for n, _ in a + b], np.concatenate([asked, held]) if b else asked)
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            if (key := (row["root"], row["low"], row["high"])) != now:
+                yield settle()
+                now, sides = key, ({}, {})
+            sides[row["own"] != row["low"]][row["node"]] = shingle_set(unpack.decompress(row["packed"]), k)
+    yield settle()
+
+
 def most_used(uses: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     """The tokens of at least so many uses that there are `most` of them or fewer, in their order, and the uses. All 10,000 uses and more count alike here."""
     levels = sorted(((r.u, r.n) for r in uses.groupBy(F.least("uses", F.lit(10_000)).alias("u")).agg(F.count("*").alias("n")).collect()), reverse=True)
@@ -300,8 +349,17 @@ def _searched(queries: DataFrame, index: DataFrame, texts: DataFrame, percent: i
     return rows.repartition("block", "part").sortWithinPartitions("block", "part").mapInArrow(on_executors("jaccard", "links_of", percent, k), "u long, v long")
 
 
-def _placed(docs: DataFrame, percent: int, k: int, hot_tokens: int, hot_least: int, block: int) -> DataFrame:
-    """A row for each row of docs: doc_id, row, n_shingles, root. Rows of one component have one root, those without shingles none."""
+def _counted(roots: DataFrame, texts: DataFrame, percent: int, k: int, block: int) -> DataFrame:
+    """(node, n_links) of all nodes of the components (node, root). Each pair of a component is in one pair of its parts, of about `block` nodes each."""
+    parts = roots.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    own = roots.join(parts, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rows = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node")
+    dealt = rows.join(texts, "node").repartition("root", "low", "high").sortWithinPartitions("root", "low", "high")
+    return dealt.mapInArrow(on_executors("jaccard", "counts_of", percent, k), "node long, n_links long").groupBy("node").agg(F.sum("n_links").alias("n_links"))
+
+
+def _placed(docs: DataFrame, percent: int, k: int, hot_tokens: int, hot_least: int, block: int, counted: bool = False) -> DataFrame:
+    """A row for each row of docs: doc_id, row, n_shingles, node, root, n_links. Rows of one component have one root, those without shingles none; n_links is null unless `counted`."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     facts = stored(with_row(docs).mapInArrow(on_executors("jaccard", "facts_of", hot_least, k, mb=24), "doc_id long, row long, n_shingles long, node long, token long, uses long"), "facts")
@@ -341,7 +399,16 @@ def _placed(docs: DataFrame, percent: int, k: int, hot_tokens: int, hot_least: i
     links = links.unionAll(stored(rest, "links"))
     roots = stored(connected_components(links), "roots")
 
-    return own.join(roots, "node", "left").select("doc_id", "row", "n_shingles", F.coalesce("root", "node").alias("root"))
+    if counted:
+        roots = roots.join(stored(_counted(roots, texts, percent, k, block), "counts"), "node", "left")
+    else:
+        roots = roots.withColumn("n_links", F.lit(None).cast("long"))
+    return own.join(roots, "node", "left").select("doc_id", "row", "n_shingles", "node", F.coalesce("root", "node").alias("root"), "n_links")
+
+
+def _with_component(placed: DataFrame) -> DataFrame:
+    ids = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return placed.join(ids, "root", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
 
 
 def jaccard_join(docs: DataFrame, percent: int = PERCENT, k: int = WORDS, hot_tokens: int = HOT_TOKENS, hot_least: int = 2, block: int = BLOCK) -> DataFrame:
@@ -352,9 +419,16 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, k: int = WORDS, hot_to
     others. Rows with the same doc_id are documents of their own that share an id. A null doc_id never is a component's id
     if the component has another. Other columns are not read. An empty table gives an empty result.
     """
-    placed = _placed(docs, percent, k, hot_tokens, hot_least, block)
-    ids = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(ids, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return _with_component(_placed(docs, percent, k, hot_tokens, hot_least, block)).select("doc_id", "n_shingles", "component_id")
+
+
+def jaccard_links(docs: DataFrame, percent: int = PERCENT, k: int = WORDS, hot_tokens: int = HOT_TOKENS, hot_least: int = 2, block: int = BLOCK) -> DataFrame:
+    """The rows of jaccard_join with set_id, the identity of the document's set, and n_links, to how many other sets that set links: all of them, exactly.
+
+    set_id is null, and n_links 0, without shingles. Documents with the same set have one set_id, and no links for that.
+    """
+    placed = _placed(docs, percent, k, hot_tokens, hot_least, block, counted=True)
+    return _with_component(placed).select("doc_id", "n_shingles", "component_id", F.col("node").alias("set_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, k: int = WORDS, hot_tokens: int = HOT_TOKENS, hot_least: int = 2, block: int = BLOCK) -> DataFrame:

@@ -24,7 +24,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_join(read_table(spark, sf_dir, "documents"))
+    return jaccard.jaccard_links(read_table(spark, sf_dir, "documents"))
 
 
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,6 +73,19 @@ def test_jaccard(spark, documents, odd, block):
     assert Counter(map(tuple, got)) == plain_components(rows)
 
 
+@pytest.mark.parametrize("block", [2048, 8])
+def test_jaccard_counts_all_links(spark, documents, odd, block):
+    """op3's rows: each set's number of links, also of those between sets that others join already."""
+    rows = [(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()] + near_copies(150) + ODD
+    sets = [frozenset(shingle_set((t or "").encode()).tolist()) for _, t in rows]
+    links = {a: sum(a != b and 100 * len(a & b) >= 80 * len(a | b) for b in set(sets) if a and b) for a in set(sets)}
+    got = jaccard.jaccard_links(spark.createDataFrame(rows, SCHEMA), block=block).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.n_links) for r in got) == Counter((i, len(s), links[s]) for (i, _), s in zip(rows, sets, strict=True))
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain_components(rows)
+    assert len({r.set_id for r in got if r.set_id is not None}) == len(set(sets) - {frozenset()}) and sum(links.values()) > 2 * len(links)
+    assert "n_links" in queries.op3_jaccard(spark, ROOT).columns
+
+
 def test_near_duplicates_go_by_row(spark):
     """Repeated rows, copies without an id, and an id that a near copy and another text share: one row of each component stays."""
     import corpus_pipeline
