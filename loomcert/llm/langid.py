@@ -17,7 +17,10 @@ DIMENSIONS = 4096
 SAMPLE = 8000
 PER_LANGUAGE = 1000
 CENTROIDS = 3
-REJECT = 0.5
+FOLDS = 5
+QUANTILE = 0.01
+MARGIN = 0.75
+ENOUGH = 20
 _BLOCK = 1 << 20
 _letters = None
 
@@ -73,8 +76,41 @@ def _clustered(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
+def length_class(v: np.ndarray) -> np.ndarray:
+    """The power of two of the number of different grams, of each row: cosines of short texts are lower."""
+    return np.log2(np.maximum((v > 0).sum(1), 1)).astype(np.int64)
+
+
+def held_out_cosines(x: np.ndarray, centroids: int, folds: int = FOLDS) -> np.ndarray:
+    """Of each row the cosine to the nearest centroid of the other folds; nan for a single row."""
+    out = np.full(len(x), np.nan)
+    fold = np.arange(len(x)) % folds
+    for f in range(min(folds, len(x)) if len(x) > 1 else 0):
+        out[fold == f] = np.max(x[fold == f] @ _clustered(x[fold != f], centroids).T, 1)
+    return out
+
+
+def thresholds(cosines: np.ndarray, kinds: np.ndarray, lang: np.ndarray, names: list[str], classes: int, margin: float, quantile: float) -> dict[str, np.ndarray]:
+    """For each language and length class, `margin` times the low quantile of held-out cosines; of all languages where it has few.
+
+    A class has no more than any longer one, and one without texts that of the next longer, or else of the last; 0 if there are none.
+    """
+    known, out = ~np.isnan(cosines), {}
+    for name in names:
+        least = np.full(classes, np.inf)
+        for k in range(classes):
+            every = known & (kinds == k)
+            own = every & (lang == name)
+            if every.any():
+                least[k] = margin * np.quantile(cosines[own if own.sum() >= ENOUGH else every], quantile)
+        some = np.flatnonzero(np.isfinite(least))
+        least[some[-1] + 1 if len(some) else 0 :] = least[some[-1]] if len(some) else 0
+        out[name] = np.minimum.accumulate(least[::-1])[::-1]
+    return out
+
+
 class Model:
-    """languages: of each centroid; least: the cosine below which a text is rejected, of each centroid."""
+    """languages: of each centroid; least: the cosine below which a text is rejected, of each centroid and length class."""
 
     def __init__(self, languages: list[str], centroids: np.ndarray, idf: np.ndarray, least: np.ndarray):
         self.languages, self.centroids, self.idf, self.least = languages, centroids, idf, least
@@ -85,7 +121,7 @@ class Model:
         for s in range(0, len(texts), 256):
             v = np.array([counts(t, len(self.idf)) for t in texts[s : s + 256]])
             some_gram = v > 0
-            some = some_gram.any(1)
+            some, kinds = some_gram.any(1), length_class(v)
             if not self.languages:
                 out += [("und", 0.0, bool(x)) for x in some]
                 continue
@@ -95,11 +131,11 @@ class Model:
             cos = (v @ self.centroids.T) / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
             best = np.argmax(cos, 1)
             top = np.clip(cos[np.arange(len(v)), best], 0, 1)
-            out += [(self.languages[b], float(c), bool(c >= self.least[b])) if x else ("und", 0.0, False) for b, c, x in zip(best, top, some, strict=True)]
+            out += [(self.languages[b], float(c), bool(c >= self.least[b, k])) if x else ("und", 0.0, False) for b, c, k, x in zip(best, top, kinds, some, strict=True)]
         return out
 
 
-def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE, per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS, reject: float = REJECT, dimensions: int = DIMENSIONS) -> Model:
+def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE, per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS, margin: float = MARGIN, quantile: float = QUANTILE, dimensions: int = DIMENSIONS) -> Model:
     """Learns from the rows of docs (doc_id, text, lang) where `learn` holds and text and lang aren't null."""
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
     n = max(1, rows.select("lang").distinct().count())
@@ -114,17 +150,18 @@ def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE, per_language: int
         x[k, at.values.to_numpy()] = w.values.to_numpy()
     some = x.any(1)
     x, lang = x[some], lang[some]
+    kinds = length_class(x)
     idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1).astype(np.float32)
     x *= idf
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    names, c, least = [], [], []
+    names, c, cosines = [], [], np.full(len(x), np.nan)
     for name in sorted(set(lang)):
         own = _clustered(x[lang == name], centroids)
-        low = float(np.max(x[lang == name] @ own.T, 1).min())
+        cosines[lang == name] = held_out_cosines(x[lang == name], centroids)
         names += [name] * len(own)
-        least += [reject * low] * len(own)
         c.append(own)
-    return Model(names, np.concatenate(c) if c else np.zeros((0, dimensions), np.float32), idf, np.array(least))
+    least = thresholds(cosines, kinds, lang, sorted(set(lang)), dimensions.bit_length(), margin, quantile)
+    return Model(names, np.concatenate(c) if c else np.zeros((0, dimensions), np.float32), idf, np.array([least[n] for n in names]))
 
 
 def predictions_of(batches, model):
@@ -147,7 +184,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """A row for each row of docs (doc_id long, text string): doc_id, lang_pred, score (the cosine, 0 to 1), accepted.
 
     lang_pred is a learned language, or und if the text is null, empty or has no letter; those are not accepted, nor texts whose cosine
-    is under `reject` times the least one of the language's sample. Ties go to the first language in alphabetical order. Equal
+    is under `margin` times a low quantile of those that held-out texts of the language and about that length have. Ties go to the first language in alphabetical order. Equal
     texts have equal results. Other columns are not read. An empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -168,6 +168,19 @@ def test_language(spark, documents, odd, none):
     assert langid.identify(odd, langid.fit(none, ~queries.held_out(4, 2))).where("accepted").count() == len(ODD) - 3 and langid.keep_accepted(odd, model).columns == odd.columns
 
 
+def test_language_rejects_what_it_has_not_learned(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where("lang <> 'es'"), ~queries.held_out(4, 2))
+    rows = langid.keep_accepted(docs.where(queries.held_out(4, 2) & (F.length("text") >= 60)), model).groupBy("lang").count().collect()
+    kept = {r.lang: r["count"] for r in rows}
+    all_ = {r.lang: r["count"] for r in docs.where(queries.held_out(4, 2) & (F.length("text") >= 60)).groupBy("lang").count().collect()}
+    assert kept.get("es", 0) <= 0.02 * all_["es"] and all(kept[x] >= 0.99 * all_[x] for x in ("de", "en", "fr"))
+    rng = np.random.default_rng(5)
+    letters = lambda n: " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10))) for _ in range(n))
+    assert not any(ok for _, _, ok in model.predict([letters(n) for n in (10, 30, 100, 300, 3000)]))
+    assert langid.fit(docs.where("lang = 'es'").limit(1), F.lit(True)).predict(["hola amigo"])[0][2]
+
+
 def test_toxicity(spark, odd, none):
     documents, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.fit(documents, labels, ~queries.held_out(5, 0))
