@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomcert.llm import jaccard, langid, packing, suffixes, toxicity
-from loomcert.llm.queries import held_out
+from loomcert.llm.queries import held_out, to_pack
 from loomcert.llm.util import read_table, stored
 
 
@@ -38,7 +38,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs.select("doc_id", F.octet_length("text").alias("length"), "source", F.xxhash64("text").alias("cluster")))
+    return packing.pack(stored(to_pack(docs), "to_pack"))
 
 
 STAGES = [

@@ -445,3 +445,11 @@ def keep_one(docs: DataFrame, percent: int = PERCENT, k: int = WORDS, hot_tokens
     rows = with_row(docs, "__row")
     once = rows.join(gone.select("__row"), "__row", "left_anti").select(docs.columns)
     return once.unionByName(rows.join(again, "__row", "left_semi").dropDuplicates(["__row"]).select(docs.columns))
+
+
+def clusters(docs: DataFrame, percent: int = PERCENT, k: int = WORDS, hot_tokens: int = HOT_TOKENS, hot_least: int = 2, block: int = BLOCK) -> DataFrame:
+    """(row, cluster), once for each row identity (`with_row`) in a component of several rows of docs (doc_id, text); those that are alone or have no shingles aren't in it."""
+    placed = _placed(docs, percent, k, hot_tokens, hot_least, block).where("root is not null")
+    each = stored(placed.groupBy("root", "row").agg(F.count("*").alias("n")), "each")
+    several = each.groupBy("root").agg(F.sum("n").alias("rows")).where("rows > 1").select("root")
+    return stored(each.join(several, "root").select("row", F.col("root").alias("cluster")), "clusters")

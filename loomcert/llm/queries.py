@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, fingerprints, jaccard, langid, media, packing, pieces, quality, suffixes, toxicity
-from .util import read_table
+from .util import read_table, stored
 
 
 def held_out(divisor: int, remainder: int) -> Column:
@@ -42,9 +42,14 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_rows(read_table(spark, sf_dir, "documents"))
 
 
+def to_pack(docs: DataFrame) -> DataFrame:
+    """doc_id, length, source and cluster of each row of docs: near copies are of one cluster, what is alone or has no words of none."""
+    rows = suffixes.with_row(docs).select("doc_id", F.octet_length("text").alias("length"), "source", "row")
+    return rows.join(jaccard.clusters(docs), "row", "left").select("doc_id", "length", "source", "cluster")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    return packing.pack(docs.select("doc_id", F.octet_length("text").alias("length"), "source", F.xxhash64("text").alias("cluster")))
+    return packing.pack(stored(to_pack(read_table(spark, sf_dir, "documents")), "to_pack"))
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

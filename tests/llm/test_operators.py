@@ -158,6 +158,18 @@ def test_packing_is_best_fit_and_whole(spark):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_packing_parts_near_copies(spark):
+    """Near copies of different sources are in different bins; empty, null and wordless texts conflict with nothing."""
+    import corpus_pipeline
+
+    words = " ".join(f"w{k}" for k in range(90))
+    rows = [(1, words, "a"), (2, words + " x", "b"), (3, words, "c"), (4, "", "d"), (5, "", "e"), (6, None, "f"), (7, None, "g"), (8, " ", "h"), (9, "one two", "i")]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], f"{SCHEMA}, source string, n_chars int")
+    got = {r.doc_id: r.bin for r in corpus_pipeline.pack_documents(spark, docs, ROOT).collect()}
+    assert len(got) == 9 and len({got[k] for k in (1, 2, 3)}) == 3 and len(set(got.values())) == 3
+    assert {r.doc_id: r.cluster is None for r in queries.to_pack(docs).collect()} == {k: k > 3 for k in range(1, 10)}
+
+
 def test_language(spark, documents, odd, none):
     model = langid.fit(documents, ~queries.held_out(4, 2))
     got = langid.identify(documents, model).join(documents.select("doc_id", "lang"), "doc_id").where(queries.held_out(4, 2)).collect()
