@@ -1,7 +1,7 @@
 """Language identification by nearest centroid: TF-IDF vectors of hashed letter n-grams, several centroids a language, cosine, rejection by distance.
 
-The model is fitted on a bounded sample of labelled rows (`sample` documents at most, the same number for each language, those with the
-least hash of their id); every text is then classified whole, without a shuffle.
+The model is fitted on a bounded sample of labelled rows (`sample` at most, the same number for each language, those with the least
+hash) in one task of an executor; every text is then classified whole, without a shuffle.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import column, on_executors, to_batch
+from .util import column, on_executors, thinned, to_batch
 
 DIMENSIONS = 4096
 SAMPLE = 8000
@@ -24,7 +24,8 @@ ENOUGH = 20
 _BLOCK = 1 << 20
 _letters = None
 
-_VECTORS = pa.schema([("lang", pa.string()), ("at", pa.list_(pa.int32())), ("weight", pa.list_(pa.float32()))])
+_VECTORS = pa.schema([("h", pa.int64()), ("lang", pa.string()), ("at", pa.list_(pa.int32())), ("weight", pa.list_(pa.float32()))])
+_MODEL = pa.schema([("languages", pa.list_(pa.string())), ("centroids", pa.list_(pa.float32())), ("idf", pa.list_(pa.float32())), ("least", pa.list_(pa.float64()))])
 
 
 def _is_letter() -> np.ndarray:
@@ -60,7 +61,7 @@ def vectors_of(batches, dimensions: int):
             v = counts(t, dimensions)
             at.append(k := np.flatnonzero(v))
             weight.append(1 + np.log(v[k]))
-        yield to_batch(_VECTORS, column(batch, "lang"), at, weight)
+        yield to_batch(_VECTORS, column(batch, "h"), column(batch, "lang"), at, weight)
 
 
 def _clustered(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -135,19 +136,9 @@ class Model:
         return out
 
 
-def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE, per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS, margin: float = MARGIN, quantile: float = QUANTILE, dimensions: int = DIMENSIONS) -> Model:
-    """Learns from the rows of docs (doc_id, text, lang) where `learn` holds and text and lang aren't null."""
-    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
-    n = max(1, rows.select("lang").distinct().count())
-    quota = max(1, min(per_language, sample // n))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= quota).select("doc_id").limit(sample)
-    chosen = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id", "left_semi")
-    got = chosen.select("lang", "text").mapInArrow(on_executors("langid", "vectors_of", dimensions), "lang string, at array<int>, weight array<float>").toArrow()
-    lang = np.array(got.column("lang").to_pylist(), object)
-    x = np.zeros((len(lang), dimensions), np.float32)
-    for k, (at, w) in enumerate(zip(got.column("at"), got.column("weight"), strict=True)):
-        x[k, at.values.to_numpy()] = w.values.to_numpy()
+def fit_vectors(x: np.ndarray, lang: np.ndarray, centroids: int, margin: float, quantile: float) -> Model:
+    """The model of term weights (a row for each text) and languages; texts without a letter are left out."""
+    dimensions = x.shape[1]
     some = x.any(1)
     x, lang = x[some], lang[some]
     kinds = length_class(x)
@@ -164,6 +155,41 @@ def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE, per_language: int
     return Model(names, np.concatenate(c) if c else np.zeros((0, dimensions), np.float32), idf, np.array([least[n] for n in names]))
 
 
+def fitted_of(batches, dimensions: int, centroids: int, margin: float, quantile: float):
+    """One row, the model of all rows, which come in the order of h."""
+    lang, rows = [], []
+    for batch in batches:
+        lang += column(batch, "lang").to_pylist()
+        for at, w in zip(column(batch, "at"), column(batch, "weight"), strict=True):
+            rows.append(np.zeros(dimensions, np.float32))
+            rows[-1][at.values.to_numpy()] = w.values.to_numpy()
+    m = fit_vectors(np.array(rows, np.float32).reshape(-1, dimensions), np.array(lang, object), centroids, margin, quantile)
+    yield to_batch(_MODEL, [m.languages], [m.centroids.ravel()], [m.idf], [m.least.ravel()])
+
+
+def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE, per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS, margin: float = MARGIN, quantile: float = QUANTILE, dimensions: int = DIMENSIONS) -> Model:
+    """Learns from the rows of docs (doc_id, text, lang) where `learn` holds and text and lang aren't null; repeated rows count once.
+
+    Rows are sampled, not ids. A language's rows are first thinned by hash to about twice its share, so that ranking them takes a task no
+    more rows the more there are.
+    """
+    usable = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    h = F.xxhash64("doc_id", "text", "lang").alias("h")
+    rows = usable.select("lang", h)
+    per = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
+    quota = max(1, min(per_language, sample // max(1, per.count())))
+    order = Window.partitionBy("lang").orderBy("h")
+    ids = rows.join(per, "lang").where(thinned(quota, F.col("n"))).select("lang", "h").distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= quota).select("h").limit(sample)
+    chosen = usable.select(h, "lang", "text").join(F.broadcast(ids), "h", "left_semi").dropDuplicates(["h"])
+    vectors = chosen.mapInArrow(on_executors("langid", "vectors_of", dimensions), "h long, lang string, at array<int>, weight array<float>")
+    one = vectors.repartition(1).sortWithinPartitions("h")
+    got = one.mapInArrow(on_executors("langid", "fitted_of", dimensions, centroids, margin, quantile), "languages array<string>, centroids array<float>, idf array<float>, least array<double>").first()
+    if got is None:
+        return fit_vectors(np.zeros((0, dimensions), np.float32), np.zeros(0, object), centroids, margin, quantile)
+    shaped = lambda v, kind: np.array(v, kind).reshape(len(got.languages), -1)
+    return Model(list(got.languages), shaped(got.centroids, np.float32) if got.languages else np.zeros((0, dimensions), np.float32), np.array(got.idf, np.float32), shaped(got.least, float) if got.languages else np.zeros(0))
+
+
 def predictions_of(batches, model):
     model = model.value
     for batch in batches:

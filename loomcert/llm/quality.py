@@ -2,7 +2,7 @@
 
 Each labeller votes good, bad or nothing on a text. Texts only matter to the estimation by their pattern of votes, so patterns are
 counted over all documents (a table bounded by 3 to the number of labellers), and the estimation runs on the counts. The posteriors of a
-bounded sample of documents (`sample`, those with the least hash of their id) train a logistic scorer of hashed words; every text is scored whole.
+bounded sample of rows (`sample`, those with the least hash) train a logistic scorer of hashed words; every text is scored whole.
 """
 
 from __future__ import annotations
@@ -15,9 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shingles import word_hashes
-from .util import column, on_executors, to_batch
+from .util import column, on_executors, thinned, to_batch
 
 SAMPLE = 4000
+_SAMPLE = pa.schema([("h", pa.int64()), ("votes", pa.int32()), ("at", pa.list_(pa.int32())), ("weight", pa.list_(pa.float32()))])
 DIMENSIONS = 1 << 14
 PRIOR = 0.8
 _CODE = np.zeros(256, np.uint8)
@@ -119,36 +120,53 @@ def votes_of(batches):
 
 
 def sample_of(batches):
-    schema = pa.schema([("votes", pa.int32()), ("at", pa.list_(pa.int32())), ("weight", pa.list_(pa.float32()))])
     for batch in batches:
         texts = [(t or "").encode() for t in column(batch, "text").to_pylist()]
         x = [hashed(t) for t in texts]
-        yield to_batch(schema, [votes(t) for t in texts], [a for a, _ in x], [w for _, w in x])
+        yield to_batch(_SAMPLE, column(batch, "h"), [votes(t) for t in texts], [a for a, _ in x], [w for _, w in x])
+
+
+def train(rows: list[tuple[np.ndarray, np.ndarray, float]], rounds: int, step: float, ridge: float) -> np.ndarray:
+    """Weights of a logistic scorer for rows (indices, weights, target), by rounds of adaptive gradient steps in a seeded order."""
+    w = np.zeros(DIMENSIONS + 1)
+    rng, square = np.random.default_rng(7), np.full(len(w), 1e-6)
+    for _ in range(rounds):
+        for k in rng.permutation(len(rows)):
+            at, x, y = rows[k]
+            g = 1 / (1 + np.exp(-np.clip(w[at] @ x + w[-1], -30, 30))) - y
+            grad = g * x + ridge * w[at]
+            np.add.at(square, at, grad**2)
+            np.add.at(w, at, -step * grad / np.sqrt(square[at]))
+            square[-1] += g * g
+            w[-1] -= step * g / np.sqrt(square[-1])
+    return w
+
+
+def trained_of(batches, p: np.ndarray, prior: np.ndarray, rounds: int, step: float, ridge: float):
+    """One row, the weights of all rows, which come in the order of h."""
+    rows = []
+    for batch in batches:
+        target = posterior(column(batch, "votes").to_numpy().astype(np.int64), p, prior)
+        rows += [(a.values.to_numpy(), w.values.to_numpy().astype(float), y) for a, w, y in zip(column(batch, "at"), column(batch, "weight"), target, strict=True)]
+    yield to_batch(pa.schema([("weights", pa.list_(pa.float64()))]), [train(rows, rounds, step, ridge)])
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, rounds: int = 40, step: float = 0.5, ridge: float = 1e-4) -> Model:
-    """Estimates from all rows of docs (doc_id, text), without any given label, and trains on `sample` of them."""
+    """Estimates from all rows of docs (doc_id, text), without any given label, and trains on `sample` of them, in one task of an executor.
+
+    Sampled are rows with an id, not ids; repeated rows count once in training, and each in the estimation.
+    """
     text = docs.select(F.col("text").cast("string").alias("text"))
     counted = text.mapInArrow(on_executors("quality", "votes_of"), "votes int").groupBy("votes").agg(F.count("*").alias("n")).toArrow()
     p, prior = estimate(counted.column("votes").to_numpy().astype(np.int64), counted.column("n").to_numpy().astype(float))
-    ids = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
-    got = docs.join(F.broadcast(ids), "doc_id", "left_semi").select(F.col("text").cast("string").alias("text")).mapInArrow(on_executors("quality", "sample_of"), "votes int, at array<int>, weight array<float>").toArrow()
-    w = np.zeros(DIMENSIONS + 1)
-    if got.num_rows:
-        order = sorted(range(got.num_rows), key=lambda k: (got.column("votes")[k].as_py(), got.column("weight")[k].as_py()))
-        target = posterior(got.column("votes").to_numpy().astype(np.int64), p, prior)
-        rows = [(got.column("at")[k].values.to_numpy(), got.column("weight")[k].values.to_numpy().astype(float), target[k]) for k in order]
-        rng, square = np.random.default_rng(7), np.full(len(w), 1e-6)
-        for _ in range(rounds):
-            for k in rng.permutation(len(rows)):
-                at, x, y = rows[k]
-                g = 1 / (1 + np.exp(-np.clip(w[at] @ x + w[-1], -30, 30))) - y
-                grad = g * x + ridge * w[at]
-                np.add.at(square, at, grad**2)
-                np.add.at(w, at, -step * grad / np.sqrt(square[at]))
-                square[-1] += g * g
-                w[-1] -= step * g / np.sqrt(square[-1])
-    return Model(p, prior, w)
+    h = F.xxhash64("doc_id", "text").alias("h")
+    rows = docs.where("doc_id is not null").select(h)
+    n = rows.agg(F.approx_count_distinct("h")).first()[0]
+    ids = rows.where(thinned(sample, F.lit(n))).distinct().orderBy("h").limit(sample)
+    chosen = docs.select(h, F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "h", "left_semi").dropDuplicates(["h"])
+    vectors = chosen.mapInArrow(on_executors("quality", "sample_of"), "h long, votes int, at array<int>, weight array<float>").repartition(1).sortWithinPartitions("h")
+    got = vectors.mapInArrow(on_executors("quality", "trained_of", p, prior, rounds, step, ridge), "weights array<double>").first()
+    return Model(p, prior, np.array(got.weights) if got else np.zeros(DIMENSIONS + 1))
 
 
 def scores_of(batches, model):

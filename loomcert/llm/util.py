@@ -9,9 +9,11 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LIBC = ctypes.CDLL(None)
+_PLACES = 1 << 24
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -56,7 +58,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a temporary one only where it is unset and Spark runs in one process."""
+    """This application's folder in spark.checkpoint.dir, which all executors share; a temporary one only where that is unset and Spark runs in one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
@@ -64,12 +66,17 @@ def shared_folder(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="loomcert-")
         spark.conf.set("spark.checkpoint.dir", folder)
         _delete_at_exit(spark, folder)
-    return folder.rstrip("/")
+    return f"{folder.rstrip('/')}/loomcert-{spark.sparkContext.applicationId}"
 
 
-def _delete_at_exit(spark: SparkSession, path: str) -> None:
+def _place(spark: SparkSession, path: str):
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def _delete_at_exit(spark: SparkSession, path: str) -> None:
+    system, place = _place(spark, path)
+    system.deleteOnExit(place)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -77,7 +84,29 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _delete_at_exit(df.sparkSession, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that no later plan reads."""
+    for t in tables:
+        system, place = _place(t.sparkSession, t.stored_at)
+        system.delete(place, True)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or the name with as many underscores in front as it takes to differ from all columns of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def thinned(wanted: int, n: Column) -> Column:
+    """Whether a row's hash `h` is among the least share of hashes that holds `wanted` of about n different ones with near certainty, and about twice as many."""
+    return F.pmod(F.xxhash64("h"), F.lit(_PLACES)) < F.lit((2.0 * wanted + 50) * _PLACES) / F.greatest(n, F.lit(1))
 
 
 def utf8(batch: pa.RecordBatch, column: str = "text") -> Iterator[bytes | None]:
