@@ -1,19 +1,27 @@
 """Toxicity by compression distance: zstandard dictionaries of ordinary and of toxic text, window by window.
 
-The ordinary dictionary is trained on the labelled texts without the label, the toxic one on what sets the texts with it apart: the
-runs of their strings of 5 to 8 bytes, within a word, that ordinary texts hardly have. A window's distance is the number of bytes that
-its compression saves when the toxic dictionary stands before the ordinary one; it is 0 where toxic text is of no help. Each window
-is compressed behind a fixed string that both dictionaries end with, so that its first match costs no more than the later ones. The
-largest distances of a text and the numbers of windows over thresholds are calibrated to a probability, on labelled texts that the
-dictionaries have not seen.
-
-The fit takes a bounded sample of labelled rows (`ordinary` and `toxic` at most, those with the least hash of their id); every
-text is then scored whole, without a shuffle.
+A window's distance is how many bytes fewer it takes with the toxic dictionary before the ordinary one than with the ordinary one
+alone. Windows are compressed between two fixed strings that are in both dictionaries: otherwise a window's first match costs more
+than the later ones, and its last bytes can't match at all.
+
+The ordinary dictionary is trained on ordinary texts. The toxic one is trained on toxic texts by what it compresses: it starts as
+their words (those in several texts); the texts are dealt to folds, and a word of one fold stays if the dictionary of the other folds
+saves `GAIN` bytes on it. Words of ordinary texts on which the result saves as much go to the ordinary dictionary, and the toxic words
+are judged again. So words stay that toxic texts share and ordinary ones don't, by compressed lengths alone.
+
+The threshold is calibrated on labelled texts that the dictionaries have not seen. A distance's evidence is the logarithm of how much
+more often windows of toxic texts reach it than those of ordinary ones; a text's evidence is summed over its windows and set against
+their number, and a text over the line where its label is as likely 1 as 0 counts as toxic.
+
+The fit takes a bounded sample of labelled rows (`ordinary` and `toxic` at most, those with the least hash, and of these the first
+`sample_bytes`) and runs in one task of an executor; every text is then scored whole, without a shuffle.
 """
 
 from __future__ import annotations
 
-from itertools import pairwise
+import re
+from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +35,18 @@ from .util import column, on_executors, to_batch, utf8
 WINDOW = 32
 ORDINARY = 5000
 TOXIC = 2000
+SAMPLE_BYTES = 32 << 20
 ORDINARY_BYTES = 112640
-TOXIC_BYTES = 2048
-SAMPLE_BYTES = 1 << 16
-RATIO = 60
-GRAMS = (5, 6, 7, 8)
-PRIME = bytes(range(1, 17))
+HARD_BYTES = 1 << 16
+TOXIC_BYTES = 1 << 14
+FOLDS = 4
+ROUNDS = 2
+GAIN = 2
+PRIME, TAIL = bytes(range(1, 17)), bytes(range(17, 25))
+_LONGEST = 40
+_DISTANCES = 13
 _LEVEL = 12
-_LETTER = np.array([c > 127 or chr(c).isalpha() for c in range(256)])
+_GAP = re.compile(rb"[\x20\x09-\x0d]+")
 _compressors: dict[bytes, tuple] = {}
 
 
@@ -49,8 +61,13 @@ def windows(data: bytes, width: int = WINDOW) -> np.ndarray:
     return np.stack([start, end - start], 1)[end > start].astype("<u8")
 
 
+def words(data: bytes) -> set[bytes]:
+    """A text's distinct words of four bytes or more, with a separator on each side; long ones in pieces."""
+    return {b" " + w[k : k + _LONGEST] + b" " for w in _GAP.split(data) if len(w) > 3 for k in range(0, len(w), _LONGEST)}
+
+
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
-    d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    d = zstandard.ZstdCompressionDict(content + TAIL + PRIME, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     p = zstandard.ZstdCompressionParameters.from_level(
         _LEVEL, dict_size=len(content), source_size=WINDOW, min_match=4, window_log=18, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS
     )
@@ -58,16 +75,18 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(compression_params=p, dict_data=d)
 
 
-def _primed(data: bytes, s: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """The windows, each after PRIME, and where they lie in that: a first match then costs a window no more than a later one."""
-    n = s[:, 1].astype(np.int64) + len(PRIME)
-    start = np.append(0, np.cumsum(n)[:-1])
-    body = np.ones(n.sum(), bool)
-    body[(start[:, None] + np.arange(len(PRIME))).ravel()] = False
-    out = np.empty(len(body), np.uint8)
+def primed(data: bytes, s: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The windows, each between PRIME and TAIL, and where they lie in that."""
+    n = s[:, 1].astype(np.int64)
+    whole = n + len(PRIME) + len(TAIL)
+    start = np.append(0, np.cumsum(whole)[:-1])
+    out, body = np.empty(int(whole.sum()), np.uint8), np.ones(int(whole.sum()), bool)
+    for fixed, offset in ((PRIME, 0), (TAIL, n + len(PRIME))):
+        at = (start + offset)[:, None] + np.arange(len(fixed))
+        body[at] = False
+        out[at] = np.frombuffer(fixed, np.uint8)
     out[body] = np.frombuffer(data, np.uint8)
-    out[~body] = np.tile(np.frombuffer(PRIME, np.uint8), len(s))
-    return out.tobytes(), np.stack([start, n], 1).astype("<u8")
+    return out.tobytes(), np.stack([start, whole], 1).astype("<u8")
 
 
 def _lengths(compressor: zstandard.ZstdCompressor, data: bytes, segments: np.ndarray) -> np.ndarray:
@@ -75,41 +94,64 @@ def _lengths(compressor: zstandard.ZstdCompressor, data: bytes, segments: np.nda
     return np.fromiter((len(got[k]) for k in range(len(got))), np.int64, len(got))
 
 
+def distances(plain: zstandard.ZstdCompressor, both: zstandard.ZstdCompressor, data: bytes, s: np.ndarray) -> np.ndarray:
+    """How many bytes fewer each window (offset, length) of data takes with `both` than with `plain`."""
+    if not len(s):
+        return np.zeros(0, np.int64)
+    data, s = primed(data, s)
+    return _lengths(plain, data, s) - _lengths(both, data, s)
+
+
+def saved_on(parts: list[bytes], ordinary: bytes, toxic: bytes) -> np.ndarray:
+    """What the toxic dictionary before the ordinary one saves on each part."""
+    n = np.array([len(p) for p in parts], np.int64)
+    s = np.stack([np.cumsum(n) - n, n], 1).astype("<u8").reshape(-1, 2)
+    return distances(_compressor(ordinary), _compressor(toxic + ordinary), b"".join(parts), s)
+
+
 class Model:
-    """ordinary, toxic: contents of the dictionaries; weights: of the standardised features and the intercept."""
+    """ordinary, toxic: contents of the dictionaries; evidence: of each distance; line: weights of the standardised summed evidence and number of windows."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes, mean: np.ndarray, scale: np.ndarray, weights: np.ndarray):
-        self.ordinary, self.toxic, self.mean, self.scale, self.weights = ordinary, toxic, mean, scale, weights
+    def __init__(self, ordinary: bytes, toxic: bytes, evidence: np.ndarray, line: np.ndarray):
+        self.ordinary, self.toxic, self.evidence, self.line = ordinary, toxic, evidence, line
 
-    def features(self, data: bytes) -> list[float]:
-        key = self.ordinary + self.toxic
+    def counted(self, data: bytes) -> np.ndarray:
+        """How many windows of a text have each distance; the last place is for all larger ones, the first for those under 1."""
+        key = self.ordinary + b"\0" + self.toxic
         if key not in _compressors:
             _compressors.clear()
-            _compressors[key] = _compressor(self.ordinary + PRIME), _compressor(self.toxic + self.ordinary + PRIME)
-        plain, both = _compressors[key]
+            _compressors[key] = _compressor(self.ordinary), _compressor(self.toxic + self.ordinary)
         data = data.lower()
-        s = windows(data)
-        if len(s):
-            data, s = _primed(data, s)
-        saved = np.sort(_lengths(plain, data, s) - _lengths(both, data, s))[::-1] if len(s) else np.zeros(1, np.int64)
-        top = np.append(saved[:3], [0, 0, 0])[:3]
-        over = [float(np.log1p((saved >= k).sum())) for k in (2, 3, 4)]
-        return [*(float(x) for x in top), float(top[:2].sum()), *over, float(np.log1p(len(saved)))]
+        return np.bincount(np.clip(distances(*_compressors[key], data, windows(data)), 0, _DISTANCES - 1), minlength=_DISTANCES)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if not texts:
             return np.zeros(0)
-        x = (np.array([self.features(t) for t in texts]) - self.mean) / self.scale
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(np.c_[_measured(np.array([self.counted(t) for t in texts]), self.evidence), np.ones(len(texts))] @ self.line, -30, 30)))
+
+
+def _measured(counts: np.ndarray, evidence: np.ndarray) -> np.ndarray:
+    return np.log1p(np.c_[counts @ evidence, counts.sum(1)])
+
+
+def evidence_of(counts: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each distance, how much likelier windows of toxic texts reach it, as a logarithm that never falls nor is under 0; 0 for no distance."""
+    reach = counts[:, ::-1].cumsum(1)[:, ::-1]
+    toxic, ordinary = reach[y == 1].sum(0), reach[y == 0].sum(0)
+    e = np.maximum(np.log((toxic + 0.5) / (toxic[0] + 1)) - np.log((ordinary + 0.5) / (ordinary[0] + 1)), 0)
+    e[0] = 0
+    return np.maximum.accumulate(e)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    z = np.c_[x, np.ones(len(x))]
+    """Weights for x and an intercept, found on standardised x."""
+    mean, scale = x.mean(0), x.std(0) + 1e-6
+    z = np.c_[(x - mean) / scale, np.ones(len(x))]
     w, fixed = np.zeros(z.shape[1]), np.diag([ridge] * x.shape[1] + [1e-3])
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         w -= np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + fixed, z.T @ (p - y) + fixed @ w)
-    return w
+    return np.append(w[:-1] / scale, w[-1] - (w[:-1] * mean / scale).sum())
 
 
 def _dictionary(size: int, samples: list[bytes]) -> bytes:
@@ -120,101 +162,81 @@ def _dictionary(size: int, samples: list[bytes]) -> bytes:
         return b"".join(samples)[-size:] or b" " * 8
 
 
-def _grams(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, text, offset) of the strings of n bytes that have no separator but as first or last byte; texts get a separator on each side."""
-    a = np.frombuffer(b" " + b"  ".join(texts) + b" ", np.uint8)
-    text = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) + 2 for t in texts])
-    offset = np.concatenate([np.arange(len(t) + 2, dtype=np.int32) for t in texts]) if texts else text
-    if len(a) < n:
-        return np.zeros(0, np.uint64), text[:0], offset[:0]
-    gap = ~_LETTER[a]
-    inside = np.append(np.int32(0), np.cumsum(gap, dtype=np.int32))
-    last = len(a) - n + 1
-    at = np.flatnonzero((inside[n - 1 : n - 1 + last] == inside[1 : 1 + last]) & (text[:last] == text[n - 1 :])).astype(np.int32)
-    h = np.zeros(len(at), np.uint64)
-    for k in range(n):
-        h = (h ^ np.where(gap[at + k], 32, a[at + k]).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    return h, text[at], offset[at]
-
-
-def _texts_with(h: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct hashes, and in how many texts each is."""
-    order = np.lexsort((text, h))
-    h, text = h[order], text[order]
-    first = np.append(True, (h[1:] != h[:-1]) | (text[1:] != text[:-1]))[: len(h)]
-    return np.unique(h[first], return_counts=True)
-
-
-def _lots(texts: list[bytes], size: int = 1 << 20) -> list[list[bytes]]:
-    """The texts in lots of about `size` bytes."""
-    lot = np.cumsum([0, *map(len, texts)])[:-1] // size
-    return [texts[a:b] for a, b in pairwise([*np.flatnonzero(np.diff(lot, prepend=-1)), len(texts)])]
-
-
-def apart(toxic: list[bytes], ordinary: list[bytes]) -> list[np.ndarray]:
-    """For each toxic text the bytes, as a mask over it with a separator on each side, of strings that ordinary texts hardly have."""
-    masks = [np.zeros(len(t) + 2, bool) for t in toxic]
-    least = max(3 if len(toxic) < 150 else 5, 0.004 * len(toxic))
-    for n in GRAMS:
-        h, text, offset = _grams(toxic, n)
-        keys, seen = _texts_with(h, text)
-        keys, seen = keys[seen >= least], seen[seen >= least]
-        if not len(keys):
-            continue
-        plain = np.zeros(len(keys))
-        for part in _lots(ordinary):
-            g, owner, _ = _grams(part, n)
-            known = keys[np.minimum(np.searchsorted(keys, g), len(keys) - 1)] == g
-            found, count = _texts_with(g[known], owner[known])
-            plain[np.searchsorted(keys, found)] += count
-        keys = keys[(seen + 0.5) / (len(toxic) + 1) > RATIO * (plain + 0.5) / (len(ordinary) + 1)]
-        if len(keys):
-            own = keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h
-            for t, o in zip(text[own], offset[own], strict=True):
-                masks[t][o : o + n] = True
-    return masks
-
-
-def told_apart(text: bytes, mask: np.ndarray) -> list[bytes]:
-    """The marked runs of a text with separators around it, in threes that overlap."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8)))
-    whole = b" " + text + b" "
-    runs = [whole[a:b].strip() for a, b in zip(edge[::2], edge[1::2], strict=True)]
-    return [b" " + b" ".join(runs[k : k + 3]) + b" " for k in range(0, len(runs), 2)]
+def _joined(parts: Iterable[bytes], seen: Counter, size: int) -> bytes:
+    """The parts, those of most texts last, so that they cost least; of more than `size` bytes the first go."""
+    return b"".join(sorted(parts, key=lambda w: (seen[w], w)))[-size:]
+
+
+def train(toxic: list[bytes], ordinary: list[bytes], rounds: int = ROUNDS, folds: int = FOLDS, gain: int = GAIN) -> tuple[bytes, bytes]:
+    """The ordinary and the toxic dictionary from lower-cased texts of each class. A fixed number of rounds; words in one text only are not looked at."""
+    plain = _dictionary(ORDINARY_BYTES, [t[k : k + 400] for t in ordinary for k in range(0, len(t), 400)])
+    fold = [Counter(w for t in toxic[k::folds] for w in words(t)) for k in range(folds)]
+    seen, usual = sum(fold, Counter()), Counter(w for t in ordinary for w in words(t))
+    kept, common = [w for w, n in seen.items() if n > 1], sorted(w for w, n in usual.items() if n > 1)
+    for k in range(rounds):
+        told = set()
+        for own in fold:
+            others = seen - own
+            mine = [w for w in kept if own[w]]
+            told |= {w for w, g in zip(mine, saved_on(mine, plain, _joined((w for w in kept if others[w]), others, TOXIC_BYTES)), strict=True) if g >= gain}
+        kept = sorted(told)
+        if k < rounds - 1:
+            hard = saved_on(common, plain, _joined(kept, seen, TOXIC_BYTES))
+            plain = _joined((w for w, g in zip(common, hard, strict=True) if g >= gain), usual, HARD_BYTES) + plain
+    return plain, _joined(kept, seen, TOXIC_BYTES)
 
 
 def fit_texts(texts: list[bytes], labels: list[int], held: list[int]) -> Model:
-    """held: an even number for each text, by which a third is kept from the dictionaries for the calibration."""
+    """held: a number for each text, by which a third is kept from the dictionaries for the calibration."""
     texts, y = [t.lower() for t in texts], np.array(labels, float)
     own = np.array([h % 3 > 0 for h in held], bool)
     if y[~own].sum() < 60:  # too few to hold any back
         own[:] = True
-    ordinary, toxic = [t for t, k, o in zip(texts, y, own, strict=True) if o and not k], [t for t, k, o in zip(texts, y, own, strict=True) if o and k]
-    told = [r for t, rs in zip(dict.fromkeys(toxic), apart(list(dict.fromkeys(toxic)), list(dict.fromkeys(ordinary))), strict=True) for r in told_apart(t, rs)]
-    model = Model(_dictionary(ORDINARY_BYTES, [t[k : k + 400] for t in ordinary for k in range(0, len(t), 400)]), _dictionary(TOXIC_BYTES, told), np.zeros(1), np.ones(1), np.zeros(1))
+    chosen = lambda label: [t for t, k, o in zip(texts, y, own, strict=True) if o and k == label]
+    model = Model(*train(chosen(1), chosen(0)), np.zeros(_DISTANCES), np.zeros(3))
     on = ~own if (~own).any() else own
-    x = np.array([model.features(t) for t, o in zip(texts, on, strict=True) if o]).reshape(-1, 8)
-    if not len(x):
-        x, y, on = np.zeros((1, 8)), np.zeros(1), np.ones(1, bool)
-    model.mean, model.scale = x.mean(0), x.std(0) + 1e-6
-    model.weights = _logistic((x - model.mean) / model.scale, y[on])
+    if not on.any():
+        return model
+    counts = np.array([model.counted(t) for t, o in zip(texts, on, strict=True) if o])
+    model.evidence = evidence_of(counts, y[on])
+    model.line = _logistic(_measured(counts, model.evidence), y[on])
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, ordinary: int = ORDINARY, toxic: int = TOXIC) -> Model:
+_MODEL = pa.schema([("ordinary", pa.binary()), ("toxic", pa.binary()), ("evidence", pa.list_(pa.float64())), ("line", pa.list_(pa.float64()))])
+
+
+def fitted_of(batches, sample_bytes: int):
+    """One row, the model of all rows (h, toxic, text), which come in the order of h, up to sample_bytes of text."""
+    texts, labels, held, size = [], [], [], 0
+    for batch in batches:
+        for h, y, t in zip(column(batch, "h").to_pylist(), column(batch, "toxic").to_pylist(), utf8(batch), strict=True):
+            if size < sample_bytes:
+                texts.append(t)
+                labels.append(y)
+                held.append((h >> 7) & 0xFFFF)
+                size += len(t)
+    m = fit_texts(texts, labels, held)
+    yield to_batch(_MODEL, [m.ordinary], [m.toxic], [m.evidence], [m.line])
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, ordinary: int = ORDINARY, toxic: int = TOXIC, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Learns from the rows of docs (doc_id, text) whose id has a label (doc_id, toxic) and where `learn`, on doc_id, holds.
 
-    Labels other than 0 and 1 are not used, nor sampled texts of over SAMPLE_BYTES bytes; an id with both labels counts as toxic.
+    Labels other than 0 and 1 and null texts are not used; an id with both labels counts as toxic, and repeated rows count once. Rows are
+    sampled, not ids, whatever their length. Without any row, the model scores all texts alike.
     """
-    marked = labels.where(learn & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    there = docs.where(learn & F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES)).select("doc_id").distinct()
-    usable = marked.join(there, "doc_id", "left_semi")
-    least = [usable.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for label, n in ((0, ordinary), (1, toxic))]
-    ids = least[0].union(least[1])
-    chosen = docs.where(learn & F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    got = sorted((r.doc_id, r.toxic, r.text.encode()) for r in chosen.dropDuplicates(["doc_id"]).collect())
-    return fit_texts([t for *_, t in got], [y for _, y, _ in got], [hash((i * 2654435761) >> 7 & 0xFFFF) for i, *_ in got])
+    marked = labels.where(learn & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    rows = docs.where(learn & F.col("text").isNotNull()).select("doc_id", F.xxhash64("doc_id", "text").alias("h"))
+    usable = rows.join(marked, "doc_id").groupBy("doc_id", "h").agg(F.first("toxic").alias("toxic"))
+    least = [usable.where(F.col("toxic") == label).orderBy("h", "doc_id").limit(n) for label, n in ((0, ordinary), (1, toxic))]
+    texts = docs.where(learn & F.col("text").isNotNull()).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h"))
+    chosen = texts.join(F.broadcast(least[0].union(least[1])), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("h", "toxic", "text")
+    one = chosen.repartition(1).sortWithinPartitions("h", "text")
+    got = one.mapInArrow(on_executors("toxicity", "fitted_of", sample_bytes), "ordinary binary, toxic binary, evidence array<double>, line array<double>").first()
+    if got is None:
+        return fit_texts([], [], [])
+    return Model(bytes(got.ordinary), bytes(got.toxic), np.array(got.evidence), np.array(got.line))
 
 
 def scores_of(batches, model):
@@ -233,7 +255,7 @@ def accepted_of(batches, model):
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """A row for each row of docs (doc_id long, text string): doc_id, score (0 to 1, higher: more likely toxic), predicted (1 from 0.5 on).
 
-    Null and empty texts are scored as texts without any toxic window. Equal texts have equal scores. Other columns are not read. An
+    Null and empty texts are scored as texts without any window. Equal texts have equal scores. Other columns are not read. An
     empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
