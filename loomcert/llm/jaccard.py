@@ -25,6 +25,7 @@ from __future__ import annotations
 import heapq
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import pairwise
 from math import log2
 
 import numpy as np
@@ -36,18 +37,20 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .shingles import WORDS, set_id, shingle_set
 from .suffixes import with_row
-from .util import column, on_executors, stored, to_batch, utf8
+from .util import column, discard, on_executors, stored, to_batch, unused, utf8
 
 PERCENT = 80
 HOT_TOKENS = 1 << 19
 BLOCK = 2048
-_MU = 0.03
+BLOCK_SHINGLES = 1 << 21
+_MU = 0.003
+_LEVELS = 16
 
 _FACTS = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("token", pa.int64()), ("uses", pa.int64())])
 _POSTINGS = pa.schema([("token", pa.int64()), ("node", pa.int64())])
-_CANDIDATES = pa.schema([("token", pa.int64()), ("leader", pa.int64()), ("node", pa.int64())])
+_CANDIDATES = pa.schema([("token", pa.int64()), ("leader", pa.int64()), ("leader_n", pa.int64()), ("node", pa.int64()), ("n", pa.int64())])
 _MARKS = 1 << 24
-_TEXTS = pa.schema([("node", pa.int64()), ("packed", pa.binary())])
+_TEXTS = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("packed", pa.binary())])
 _LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 _COUNTS = pa.schema([("node", pa.int64()), ("n_links", pa.int64())])
 _AT_ONCE = 1 << 21
@@ -71,60 +74,67 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return min(n, n - -(-percent * n // 100) + needed(n))
 
 
-def divide_skip(lists: list[list[int]], threshold: int, mu: float = _MU) -> Iterator[tuple[int, int]]:
-    """(id, occurrences) of the ids that are in at least `threshold` of the sorted lists.
+def divide_skip(lists: list[np.ndarray], threshold: int, mu: float = _MU) -> list[tuple[int, int]]:
+    """(id, occurrences) of the ids that are in at least `threshold` of the sorted lists, in the order of id.
 
     The longest lists are set aside; the short ones are merged by a heap that skips to where an id can still reach what is
-    needed without the long ones; those that do are probed in the long lists by binary search.
+    needed without the long ones; all that do are probed in one long list after the other by binary search, as long as they can
+    still reach the threshold.
     """
-    lists = sorted((x for x in lists if x), key=len)
+    lists = sorted((x for x in lists if len(x)), key=len)
     if threshold < 1 or len(lists) < threshold:
-        return
-    aside = min(threshold - 1, int(threshold / (mu * log2(max(len(lists[-1]), 1)) + 1)))
-    short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
+        return []
+    aside = min(threshold - 1, int(threshold / (mu * log2(len(lists[-1])) + 1)))
+    short, long = [np.asarray(x).tolist() for x in lists[: len(lists) - aside]], lists[len(lists) - aside :]
     need = threshold - aside
     at = [0] * len(short)
     heap = [(x[0], k) for k, x in enumerate(short)]
     heapq.heapify(heap)
+    ids, counts = [], []
     while len(heap) >= need:
         least = heap[0][0]
         popped = []
         while heap and heap[0][0] == least:
             popped.append(heapq.heappop(heap)[1])
         if len(popped) >= need:
-            count, left = len(popped), len(long)
-            for x in long:
-                if count + left < threshold:
-                    break
-                left -= 1
-                k = bisect_left(x, least)
-                count += k < len(x) and x[k] == least
-            if count >= threshold:
-                yield least, count
+            ids.append(least)
+            counts.append(len(popped))
             for k in popped:
                 at[k] += 1
         else:
             while heap and len(popped) < need - 1:
                 popped.append(heapq.heappop(heap)[1])
             if not heap:
-                return
+                break
             target = heap[0][0]
             for k in popped:
                 at[k] = bisect_left(short[k], target, at[k])
         for k in popped:
             if at[k] < len(short[k]):
                 heapq.heappush(heap, (short[k][at[k]], k))
+    ids, counts = np.array(ids, np.int64), np.array(counts, np.int64)
+    for left, x in zip(range(len(long), 0, -1), long, strict=True):
+        can = counts + left >= threshold
+        if not can.all():
+            ids, counts = ids[can], counts[can]
+        if not len(ids):
+            break
+        x = np.asarray(x)
+        counts += x[np.minimum(np.searchsorted(x, ids), len(x) - 1)] == ids
+    reached = counts >= threshold
+    return list(zip(ids[reached].tolist(), counts[reached].tolist(), strict=True))
 
 
 def search(queries: list[tuple[int, int, np.ndarray]], index: list[tuple[int, int, np.ndarray]], percent: int) -> Iterator[tuple[int, int]]:
     """Links between queries and indexed sets, each (node, component, set), that join all components which any link joins.
 
-    What is of a query's own component by now is left out of the inverted lists; they are cut anew when half of them has come to be.
+    What is of a query's own component by now is left out of the inverted lists.
     """
+    if not queries or not index:
+        return
     index = sorted(index, key=lambda x: len(x[2]))
     sizes = np.array([len(s) for _, _, s in index], np.int64)
-    tokens = np.concatenate([s for _, _, s in index]) if index else np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(len(index)), sizes)
+    tokens, owner = np.concatenate([s for _, _, s in index]), np.repeat(np.arange(len(index), dtype=np.int32), sizes)
     order = np.argsort(tokens, kind="stable")
     tokens, owner = tokens[order], owner[order]
     number: dict[int, int] = {}
@@ -133,33 +143,23 @@ def search(queries: list[tuple[int, int, np.ndarray]], index: list[tuple[int, in
     now = np.arange(len(number))  # the component that each is in by now
     for own, (node, _, s) in zip(asks, queries, strict=True):
         lo, hi = np.searchsorted(sizes, [-(-percent * len(s) // 100), len(s) * 100 // percent + 1])
+        alive = now[comp] != now[own]
+        alive[:lo] = alive[hi:] = False
+        if not alive.any():
+            continue
         start, end = np.searchsorted(tokens, s, "left"), np.searchsorted(tokens, s, "right")
         start, end = start[end > start], end[end > start]
-        t = required(len(s), int(sizes[lo]), percent) if lo < hi else 0
-        if lo >= hi or len(start) < t:
+        t = required(len(s), int(sizes[np.argmax(alive)]), percent)
+        if len(start) < t:
             continue
         held = np.concatenate([owner[a:b] for a, b in zip(start, end, strict=True)])
-        which = np.repeat(np.arange(len(start)), end - start)
-        done = np.zeros(len(index), bool)
-        while True:
-            alive = ~done & (now[comp] != now[own])
-            alive[:lo] = alive[hi:] = False
-            if not (left := int(alive.sum())):
-                break
-            keep = alive[held]
-            cuts = np.searchsorted(which[keep], np.arange(len(start) + 1))
-            ids = held[keep].tolist()
-            again = False
-            for k, count in divide_skip([ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], t):
-                if now[comp[k]] == now[own] or count < required(len(s), int(sizes[k]), percent):
-                    continue
+        keep = alive[held]
+        cuts = np.append(0, np.cumsum(keep))[np.append(0, np.cumsum(end - start))]
+        held = held[keep]
+        for k, count in divide_skip([held[a:b] for a, b in pairwise(cuts.tolist())], t):
+            if now[comp[k]] != now[own] and count >= required(len(s), int(sizes[k]), percent):
                 yield node, index[k][0]
                 now[now == now[comp[k]]] = now[own]
-                done[: k + 1] = True
-                if again := int((~done & (now[comp] != now[own]))[lo:hi].sum()) < left // 2:
-                    break
-            if not again:
-                break
 
 
 def facts_of(batches, least: int, k: int):
@@ -175,9 +175,9 @@ def facts_of(batches, least: int, k: int):
 
 
 def postings_of(batches, hot, percent: int, k: int):
-    token, uses = hot.value
+    (token, uses), seen = hot.value, set()
     for batch in batches:
-        seen, out = set(), []
+        out = []
         for t in utf8(batch):
             s = shingle_set(t or b"", k)
             if not len(s) or (node := set_id(s)) in seen:
@@ -223,34 +223,36 @@ def candidates_of(batches, percent: int):
     """
     state = None
     for batch in batches:
-        token, node = column(batch, "token").to_numpy(), column(batch, "node").to_numpy()
+        token, node, n = (column(batch, c).to_numpy() for c in ("token", "node", "n"))
         if not len(token):
             continue
-        kind = size_class(column(batch, "n").to_numpy(), percent)
+        kind = size_class(n, percent)
         begin = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (kind[1:] != kind[:-1])))
-        own = np.empty(len(begin), np.int64)
-        before = np.empty(len(begin), np.int64)
+        own, before = np.empty((len(begin), 2), np.int64), np.empty((len(begin), 2), np.int64)
         for k, i in enumerate(begin):
-            t, c = int(token[i]), int(kind[i])
+            t, c, first = int(token[i]), int(kind[i]), (int(node[i]), int(n[i]))
             if state is None or state[:2] != (t, c):
-                lead = state[2] if state is not None and state[:2] == (t, c - 1) else int(node[i])
-                state = t, c, int(node[i]), lead
+                lead = state[2] if state is not None and state[:2] == (t, c - 1) else first
+                state = t, c, first, lead
             own[k], before[k] = state[2], state[3]
         run = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(token))))
-        out = [np.concatenate([a, b]) for a, b in ((token * 64 + kind % 64, token * 64 + (kind + 1) % 64), (before[run], own[run]), (node, node))]
-        keep = out[1] != out[2]
+        lead = np.concatenate([before[run], own[run]])
+        out = [np.concatenate([token * 64 + kind % 64, token * 64 + (kind + 1) % 64]), lead[:, 0], lead[:, 1], np.tile(node, 2), np.tile(n, 2)]
+        keep = out[1] != out[3]
         yield to_batch(_CANDIDATES, *(x[keep] for x in out))
 
 
 def texts_of(batches, k: int, wanted):
-    pack, marks = zstandard.ZstdCompressor(level=1), wanted.value
+    pack, marks, seen = zstandard.ZstdCompressor(level=1), wanted.value, set()
     for batch in batches:
-        out = {}
+        out = []
         for t in utf8(batch):
             s = shingle_set(t or b"", k)
-            if len(s) and marks[(node := set_id(s)) & (_MARKS - 1)]:
-                out.setdefault(node, t)
-        yield to_batch(_TEXTS, list(out), [pack.compress(t) for t in out.values()])
+            if len(s) and marks[(node := set_id(s)) & (_MARKS - 1)] and node not in seen:
+                seen.add(node)
+                out.append((node, len(s), pack.compress(t)))
+        if out:
+            yield to_batch(_TEXTS, *zip(*out, strict=True))
 
 
 def links_of(batches, percent: int, k: int):
@@ -316,14 +318,21 @@ def counts_of(batches, percent: int, k: int):
 
 
 def most_used(uses: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The tokens of at least so many uses that there are `most` of them or fewer, in their order, and the uses. All 10,000 uses and more count alike here."""
-    levels = sorted(((r.u, r.n) for r in uses.groupBy(F.least("uses", F.lit(10_000)).alias("u")).agg(F.count("*").alias("n")).collect()), reverse=True)
-    least, total = 10_001, 0
-    for u, n in levels:
-        if (total := total + n) > most:
+    """At most `most` of the tokens, those of most uses, in their order, and the uses.
+
+    Uses are counted by levels, `_LEVELS` for each power of two. All tokens over a level are taken, and of those of the level that doesn't
+    fit as a whole so many as do, by their hash. Which ones they are changes no result, as any order of tokens gives the same.
+    """
+    level = F.floor(F.log2("uses") * _LEVELS).cast("int")
+    levels = sorted(((r.u, r.n) for r in uses.groupBy(level.alias("u")).agg(F.count("*").alias("n")).collect()), reverse=True)  # _LEVELS * 64 rows at most
+    least, total, share = 64 * _LEVELS, 0, 0.0
+    for least, n in levels:
+        if total + n > most:
+            share = 0.9 * (most - total) / n
             break
-        least = u
-    got = uses.where(F.col("uses") >= least).toArrow()
+        total, share = total + n, 1.0
+    over = (level > least) | ((level == least) & (F.pmod(F.xxhash64("token"), F.lit(1 << 30)) < F.lit(share * (1 << 30))))
+    got = uses.where(over).limit(most).toArrow()
     token = got.column("token").to_numpy().view(np.uint64)
     order = np.argsort(token)
     return token[order], got.column("uses").to_numpy()[order]
@@ -338,23 +347,27 @@ def marked(nodes: DataFrame) -> np.ndarray:
     return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
 
 
+def _parts(df: DataFrame, key: str, block: int, name: str) -> DataFrame:
+    """Into how many parts each key's rows (n: a set's size) are cut, for about `block` sets and BLOCK_SHINGLES shingles a part at most."""
+    return df.groupBy(key).agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias(name))
+
+
 def _searched(queries: DataFrame, index: DataFrame, texts: DataFrame, percent: int, k: int, block: int) -> DataFrame:
-    """Links (u, v) of queries and indexed nodes of one block; both (block, node, comp). Each side is cut to parts of about `block` nodes."""
-    parts = lambda df, name: df.groupBy("block").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
-    n = parts(queries, "nq").join(parts(index, "ni"), "block")
+    """Links (u, v) of queries and indexed nodes of one block; both (block, node, n, comp). Each side is cut to parts."""
+    n = _parts(queries, "block", block, "nq").join(_parts(index, "block", block, "ni"), "block")
     cut = lambda m: F.pmod(F.xxhash64("node"), F.col(m)).cast("int")
-    asked = queries.join(n, "block").withColumns({"asks": F.lit(True), "part": F.explode(F.transform(F.sequence(F.lit(0), F.col("ni") - 1), lambda i: cut("nq") * F.col("ni") + i))})
-    held = index.join(n, "block").withColumns({"asks": F.lit(False), "part": F.explode(F.transform(F.sequence(F.lit(0), F.col("nq") - 1), lambda q: q * F.col("ni") + cut("ni")))})
+    asked = queries.drop("n").join(n, "block").withColumns({"asks": F.lit(True), "part": F.explode(F.transform(F.sequence(F.lit(0), F.col("ni") - 1), lambda i: cut("nq") * F.col("ni") + i))})
+    held = index.drop("n").join(n, "block").withColumns({"asks": F.lit(False), "part": F.explode(F.transform(F.sequence(F.lit(0), F.col("nq") - 1), lambda q: q * F.col("ni") + cut("ni")))})
     rows = asked.unionByName(held).join(texts, "node").select("block", "part", "asks", "node", "comp", "packed")
     return rows.repartition("block", "part").sortWithinPartitions("block", "part").mapInArrow(on_executors("jaccard", "links_of", percent, k), "u long, v long")
 
 
 def _counted(roots: DataFrame, texts: DataFrame, percent: int, k: int, block: int) -> DataFrame:
-    """(node, n_links) of all nodes of the components (node, root). Each pair of a component is in one pair of its parts, of about `block` nodes each."""
-    parts = roots.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    own = roots.join(parts, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    """(node, n_links) of all nodes of the components (node, root). Each pair of a component is in one pair of its parts."""
+    sized = roots.join(texts.select("node", "n"), "node")
+    own = sized.join(_parts(sized, "root", block, "parts"), "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     rows = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node")
-    dealt = rows.join(texts, "node").repartition("root", "low", "high").sortWithinPartitions("root", "low", "high")
+    dealt = rows.join(texts.drop("n"), "node").repartition("root", "low", "high").sortWithinPartitions("root", "low", "high")
     return dealt.mapInArrow(on_executors("jaccard", "counts_of", percent, k), "node long, n_links long").groupBy("node").agg(F.sum("n_links").alias("n_links"))
 
 
@@ -372,38 +385,42 @@ def _placed(docs: DataFrame, percent: int, k: int, hot_tokens: int, hot_least: i
     sizes = own.where("node is not null").groupBy("node").agg(F.min("n_shingles").alias("n"))
     least = F.floor(F.ceil(F.col("n") * percent / 100) / 20) + 1
     enough = shared.groupBy("node").agg(F.count("*").alias("c")).join(sizes, "node").where(F.col("c") >= least).select("node", "n")
-    shared = shared.join(enough, "node").select("token", "n", "node").repartition("token").sortWithinPartitions("token", "n", "node")
-    candidates = stored(shared.mapInArrow(run("candidates_of", percent), "token long, leader long, node long"), "candidates")
+    dealt = shared.join(enough, "node").select("token", "n", "node").repartition("token").sortWithinPartitions("token", "n", "node")
+    candidates = stored(dealt.mapInArrow(run("candidates_of", percent), "token long, leader long, leader_n long, node long, n long"), "candidates")
 
-    pairs = stored(candidates.select("leader", "node").distinct(), "pairs")
+    pairs = stored(candidates.select("leader", "leader_n", "node", "n").distinct(), "pairs")
     wanted = pairs.select("node").unionAll(pairs.select("leader")).distinct()
     marks = spark.sparkContext.broadcast(marked(wanted))
-    packed = docs.mapInArrow(run("texts_of", k, marks), "node long, packed binary")
-    texts = stored(packed.groupBy("node").agg(F.first("packed").alias("packed")).join(wanted, "node", "left_semi"), "texts")
+    packed = docs.mapInArrow(run("texts_of", k, marks), "node long, n long, packed binary")
+    texts = stored(packed.groupBy("node").agg(F.first("n").alias("n"), F.first("packed").alias("packed")).join(wanted, "node", "left_semi"), "texts")
+    leader = F.col("leader")
     from_leaders = _searched(
-        pairs.select(F.col("leader").alias("block"), F.col("leader").alias("node"), F.col("leader").alias("comp")).distinct(),
-        pairs.select(F.col("leader").alias("block"), "node", F.col("node").alias("comp")),
-        texts, percent, k, block,
+        pairs.select(leader.alias("block"), leader.alias("node"), F.col("leader_n").alias("n"), leader.alias("comp")).distinct(),
+        pairs.select(leader.alias("block"), "node", "n", F.col("node").alias("comp")),
+        texts, percent, k, max(1, block // 4),
     )
-    links = stored(from_leaders, "links")
-    roots = stored(connected_components(links), "roots")
+    first = stored(from_leaders, "links")
+    # Labels that some of a component's nodes have in common are enough here: what they leave out is found to be of one component already.
+    roots = stored(connected_components(first, rounds=1), "roots")
     root = lambda name: F.coalesce(F.col(name), F.col(name.replace("root", "node")))
 
     # Groups of three nodes or more, of two components or more, whose members beside the leader have not been compared.
     several = candidates.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
-    members = candidates.join(several, "token", "left_semi").join(roots, "node", "left").select("token", "leader", "node", root("root").alias("comp"))
+    members = candidates.join(several, "token", "left_semi").join(roots, "node", "left").select("token", "leader", "node", "n", root("root").alias("comp"))
     members = members.join(roots.select(F.col("node").alias("leader"), F.col("root").alias("leader_root")), "leader", "left").withColumn("block", F.coalesce("leader_root", "leader"))
     mixed = members.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a != b").select("token")
-    members = stored(members.join(mixed, "token", "left_semi").select("block", "node", "comp").distinct(), "members")
-    rest = _searched(members.where("comp != block"), members, texts, percent, k, block)
-    links = links.unionAll(stored(rest, "links"))
-    roots = stored(connected_components(links), "roots")
+    members = stored(members.join(mixed, "token", "left_semi").select("block", "node", "n", "comp").distinct(), "members")
+    rest = stored(_searched(members.where("comp != block"), members, texts, percent, k, block), "links")
+    roots, old = stored(connected_components(first.unionAll(rest)), "roots"), roots
 
     if counted:
-        roots = roots.join(stored(_counted(roots, texts, percent, k, block), "counts"), "node", "left")
+        each = roots.join(stored(_counted(roots, texts, percent, k, block), "counts"), "node", "left")
     else:
-        roots = roots.withColumn("n_links", F.lit(None).cast("long"))
-    return own.join(roots, "node", "left").select("doc_id", "row", "n_shingles", "node", F.coalesce("root", "node").alias("root"), "n_links")
+        each = roots.withColumn("n_links", F.lit(None).cast("long"))
+    discard(uses, shared, candidates, pairs, texts, first, old, members, rest)
+    hot.destroy()
+    marks.destroy()
+    return own.join(each, "node", "left").select("doc_id", "row", "n_shingles", "node", F.coalesce("root", "node").alias("root"), "n_links")
 
 
 def _with_component(placed: DataFrame) -> DataFrame:
@@ -440,11 +457,11 @@ def keep_one(docs: DataFrame, percent: int = PERCENT, k: int = WORDS, hot_tokens
     each = stored(_placed(docs, percent, k, hot_tokens, hot_least, block).where("root is not null").groupBy("root", "row").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "each")
     first = each.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "row")).alias("first"))
     judged = each.join(first, "root").select("row", "n", (F.col("row") == F.col("first.row")).alias("stays"))
-    gone = stored(judged.where("not stays or n > 1").select(F.col("row").alias("__row"), "stays"), "gone")
-    again = stored(gone.where("stays").select("__row"), "again")
-    rows = with_row(docs, "__row")
-    once = rows.join(gone.select("__row"), "__row", "left_anti").select(docs.columns)
-    return once.unionByName(rows.join(again, "__row", "left_semi").dropDuplicates(["__row"]).select(docs.columns))
+    own = unused(docs, "row")
+    gone = stored(judged.where("not stays or n > 1").select(F.col("row").alias(own), "stays"), "gone")
+    rows = with_row(docs, own)
+    once = rows.join(gone.select(own), own, "left_anti").select(docs.columns)
+    return once.unionByName(rows.join(gone.where("stays").select(own), own, "left_semi").dropDuplicates([own]).select(docs.columns))
 
 
 def clusters(docs: DataFrame, percent: int = PERCENT, k: int = WORDS, hot_tokens: int = HOT_TOKENS, hot_least: int = 2, block: int = BLOCK) -> DataFrame:
