@@ -1,10 +1,12 @@
 """SentencePiece encoding and decoding for merge-type (BPE) vocabularies: a score-ordered agenda of adjacent symbol pairs.
 
 A text's spaces become U+2581 with one more in front, and it is cut before each run of them: no piece of such a vocabulary goes from
-another character to U+2581, so no merge crosses there. In a unit, the adjacent pair whose joined string is the piece of the highest
-score is merged, the leftmost of equal ones, until none is left; what is no piece then is spelt in bytes. All units of an Arrow batch
-that are not known yet run through their agendas together, a round for each merge, as arrays of symbols and pair scores; each new
-unit's ids are checked against the sentencepiece library, and so is each decoded text.
+another character to U+2581, so no merge crosses there. A unit's adjacent pairs that join to a piece are on an agenda by score, leftmost
+first of equal ones; the best is merged, its new pairs with both neighbours go on the agenda, and entries whose symbols have changed
+since are passed over. What is no piece in the end is spelt in bytes. So n characters take about n log n steps, however long a unit is.
+
+Units recur: each worker keeps those that it knows, with ids and decoded text, up to `_KNOWN_BYTES`. All new units of an Arrow batch are
+checked against the sentencepiece library in one call, ids and decoded text; a difference is an error. Long units are not kept.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +25,8 @@ from .util import column, on_executors, to_batch
 
 SPACE = "▁"
 _UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-_KNOWN = 400_000
-_NONE = np.int32(2**31 - 1)
+_KNOWN_BYTES = 128 << 20
+_LONG = 256
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 _codecs: dict[str, Codec] = {}
 
@@ -84,126 +87,103 @@ class Codec:
             for c in t:
                 self.symbol.setdefault(c, n + len(self.symbol) - len(self.ids))
         self.character = {i: c for c, i in self.symbol.items() if i >= n}
-        order = sorted(self.ids.items(), key=lambda x: -score[x[1]])
-        rank, best, before = {}, -1, None
-        for _, i in order:  # equal scores have equal ranks: then the leftmost goes first
-            best += score[i] != before
-            rank[i], before = best, score[i]
-        pairs = sorted((self.symbol[t[:k]] << 32 | self.symbol[t[k:]], rank[i], i) for t, i in self.ids.items() for k in range(1, len(t)) if t[:k] in self.symbol and t[k:] in self.symbol)
-        self.pairs = np.array([p for p, _, _ in pairs], np.int64)
-        self.ranks = np.array([r for _, r, _ in pairs], np.int32)
-        self.joined = np.array([i for _, _, i in pairs], np.int64)
-        self.known: dict[str, bytes] = {}
-
-    def _look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank (or _NONE) and joined piece of pairs of symbols; symbols under 0 join with nothing."""
-        key = left << 32 | np.maximum(right, 0)
-        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-        hit = (self.pairs[at] == key) & (left >= 0) & (right >= 0)
-        return np.where(hit, self.ranks[at], _NONE), self.joined[at]
-
-    def merge(self, units: list[str]) -> list[bytes]:
-        """The ids of units of about one length, as little-endian 32-bit integers."""
-        n, width = len(units), max(map(len, units))
-        s = np.full((n, width + 1), -1, np.int64)
-        spelt: dict[int, str] = {}
-        for k, u in enumerate(units):
-            for j, c in enumerate(u):
-                i = self.symbol.get(c)
-                if i is None:
-                    i = -2 - ord(c)
-                    spelt[i] = c
-                s[k, j] = i
-        rank, joined = self._look_up(s[:, :-1], s[:, 1:])
-        rows = np.arange(n)
-        while len(rows):
-            best = np.argmin(rank[rows], 1)
-            live = rank[rows, best] != _NONE
-            rows, best = rows[live], best[live]
-            if not len(rows):
-                break
-            # The merged symbol takes the left place; what is right of it moves one to the left.
-            j = np.arange(width)[None, :]
-            b = best[:, None]
-            cur = s[rows]
-            cur[np.arange(len(rows)), best] = joined[rows, best]
-            cur[:, :-1] = np.where(j > b, cur[:, 1:], cur[:, :-1])
-            cur[:, -1] = -1
-            s[rows] = cur
-            r, o = rank[rows], joined[rows]
-            r[:, :-1], o[:, :-1] = np.where(j[:, 1:] > b, r[:, 1:], r[:, :-1]), np.where(j[:, 1:] > b, o[:, 1:], o[:, :-1])
-            r[:, -1] = _NONE
-            at = np.arange(len(rows))
-            for place in (best - 1, best):
-                ok = place >= 0
-                p = np.maximum(place, 0)
-                new_rank, new_joined = self._look_up(cur[at, p], cur[at, p + 1])
-                r[at[ok], p[ok]], o[at[ok], p[ok]] = new_rank[ok], new_joined[ok]
-            rank[rows], joined[rows] = r, o
-        simple = (s >= -1).all(1) & (s < len(self.text)).all(1)
-        out = []
-        flat = s.astype("<u4")
-        lengths = (s != -1).sum(1)
-        for k in range(n):
-            if simple[k]:
-                out.append(flat[k, : lengths[k]].tobytes())
+        #: (rank, joined piece) by both symbols; equal scores have equal ranks, so that the leftmost of them goes first.
+        rank = {v: k for k, v in enumerate(sorted(set(score), reverse=True))}
+        self.pairs = {self.symbol[t[:k]] << 32 | self.symbol[t[k:]]: (rank[score[i]], i) for t, i in self.ids.items() for k in range(1, len(t)) if t[:k] in self.symbol and t[k:] in self.symbol}
+        self.known: dict[str, tuple[bytes, str]] = {}
+        self.kept = 0
+
+    def merge(self, unit: str) -> list[int]:
+        """The ids of a unit, by the agenda."""
+        symbol, pairs = self.symbol, self.pairs
+        s = [symbol.get(c, -2 - ord(c)) for c in unit]
+        n = len(s)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        agenda = []
+        for k in range(n - 1):
+            a, b = s[k], s[k + 1]
+            if a >= 0 <= b and (found := pairs.get(a << 32 | b)):
+                agenda.append((found[0], k, a, b, found[1]))
+        heapify(agenda)
+        while agenda:
+            _, k, a, b, joined = heappop(agenda)
+            m = after[k]
+            if s[k] != a or m >= n or s[m] != b:
                 continue
-            ids = []
-            for i in s[k, : lengths[k]].tolist():
-                if 0 <= i < len(self.text):
-                    ids.append(i)
-                else:
-                    ids += [self.byte[b] for b in (spelt[i] if i < 0 else self.character[i]).encode()]
-            out.append(np.array(ids, "<u4").tobytes())
+            s[k], s[m] = joined, -1
+            m = after[k] = after[m]
+            if m < n:
+                before[m] = k
+                if s[m] >= 0 and (found := pairs.get(joined << 32 | s[m])):
+                    heappush(agenda, (found[0], k, joined, s[m], found[1]))
+            m = before[k]
+            if m >= 0 <= s[m] and (found := pairs.get(s[m] << 32 | joined)):
+                heappush(agenda, (found[0], m, s[m], joined, found[1]))
+        pieces, out, k = len(self.text), [], 0
+        while k < n:
+            i = s[k]
+            if 0 <= i < pieces:
+                out.append(i)
+            else:
+                out += [self.byte[b] for b in (self.character[i] if i >= 0 else chr(-2 - i)).encode()]
+            k = after[k]
         return out
 
-    def _learn(self, units: set[str]) -> None:
-        """Encodes new units, by classes of length, and checks them against the library."""
-        classes: dict[int, list[str]] = {}
-        for u in units:
-            classes.setdefault(max(8, 1 << (len(u) - 1).bit_length()), []).append(u)
-        for size, own in classes.items():
-            step = max(1, (1 << 20) // size)
-            for k in range(0, len(own), step):
-                part = own[k : k + step]
-                self.known.update(zip(part, self.merge(part), strict=True))
-        own = [u for u in units if u[0] == SPACE and len(u) > 1]  # a text of nothing gets no space in front
-        for u, ids in zip(own, self.library.encode([u[1:].replace(SPACE, " ") for u in own], num_threads=1), strict=True):
-            if np.array(ids, "<u4").tobytes() != self.known[u]:
-                raise ValueError(f"unit {u!r}: {np.frombuffer(self.known[u], '<u4').tolist()}; the library has {ids}")
-
-    def encode_batch(self, texts: list[str], begin: bool = True, end: bool = True) -> list[bytes]:
-        """Ids of whole texts as little-endian unsigned 32-bit integers."""
+    def learn(self, units: list[str]) -> dict[str, tuple[bytes, str]]:
+        """(ids, decoded) of units, checked against the library. U+2581 stays in decoded."""
+        coded = [self.merge(u) for u in units]
+        decoded = [self.joined(ids) for ids in coded]
+        at = [k for k, u in enumerate(units) if u[0] == SPACE and len(u) > 1]  # a text of nothing gets no space in front
+        theirs = self.library.encode([units[k][1:].replace(SPACE, " ") for k in at], num_threads=1)
+        for k, ids, text in zip(at, theirs, self.library.decode(theirs), strict=True):
+            if ids != coded[k] or text != decoded[k][1:].replace(SPACE, " "):
+                raise ValueError(f"unit {units[k]!r}: {coded[k]}, {decoded[k]!r}; the library has {ids}, {text!r}")
+        return {u: (np.array(ids, "<u4").tobytes(), t) for u, ids, t in zip(units, coded, decoded, strict=True)}
+
+    def encode_batch(self, texts: list[str], begin: bool = True, end: bool = True) -> list[tuple[bytes, str]]:
+        """(ids as little-endian unsigned 32-bit integers, decoded text) of whole texts."""
         cut = [_UNIT.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        if self.kept > _KNOWN_BYTES:
+            self.known, self.kept = {}, 0
         new = {u for units in cut for u in units} - self.known.keys()
-        if len(self.known) + len(new) > _KNOWN:
-            self.known.clear()
-            new = {u for units in cut for u in units}
-        if new:
-            self._learn(new)
-        first, last = (struct.pack("<I", i) if on else b"" for i, on in ((self.bos, begin), (self.eos, end)))
+        new = self.learn(sorted(new)) if new else {}
         known = self.known
-        return [first + b"".join([known[u] for u in units]) + last for units in cut]
+        known.update(new)
+        first, last = (struct.pack("<I", i) if on else b"" for i, on in ((self.bos, begin), (self.eos, end)))
+        out = []
+        for units in cut:
+            found = [known[u] for u in units]
+            text = "".join([t for _, t in found])
+            out.append((first + b"".join([i for i, _ in found]) + last, (text[1:] if text.startswith(SPACE) else text).replace(SPACE, " ")))
+        for u, (ids, _) in new.items():
+            if len(u) > _LONG:
+                del known[u]
+            else:
+                self.kept += 250 + 4 * len(u) + len(ids)
+        return out
 
-    def decode(self, ids: bytes) -> str:
-        """The text of ids: control pieces are silent, bytes that are no UTF-8 become U+FFFD, and the space in front goes."""
-        a = np.frombuffer(ids, "<u4")
-        parts, bytes_, text, value = [], bytearray(), self.text, self.value
-        for i in a.tolist():
+    def joined(self, ids: list[int]) -> str:
+        """The text of ids, with U+2581: control pieces are silent, and bytes that are no UTF-8 become U+FFFD."""
+        parts, spelt, value = [], bytearray(), self.value
+        for i in ids:
             b = value.get(i)
             if b is not None:
-                bytes_.append(b)
+                spelt.append(b)
                 continue
-            if bytes_:
-                parts.append(_spelt(bytes_))
-                bytes_ = bytearray()
+            if spelt:
+                parts.append(_spelt(spelt))
+                spelt = bytearray()
             if self.kind[i] == _NORMAL:
-                parts.append(text[i])
+                parts.append(self.text[i])
             elif self.kind[i] == _UNKNOWN:
                 parts.append(" ⁇ ")
-        if bytes_:
-            parts.append(_spelt(bytes_))
-        out = "".join(parts)
+        if spelt:
+            parts.append(_spelt(spelt))
+        return "".join(parts)
+
+    def decode(self, ids: bytes) -> str:
+        """The text of ids (little-endian 32-bit); the space in front goes."""
+        out = self.joined(np.frombuffer(ids, "<u4").tolist())
         return (out[1:] if out.startswith(SPACE) else out).replace(SPACE, " ")
 
 
@@ -241,8 +221,7 @@ def coded_of(batches, path: str, begin: bool, end: bool, with_values: bool):
             while e < len(texts) and (e == k or size + len(texts[e]) <= _STEP):
                 size += len(texts[e])
                 e += 1
-            coded = c.encode_batch(texts[k:e], begin, end)
-            decoded = [c.decode(x) for x in coded]
+            coded, decoded = map(list, zip(*c.encode_batch(texts[k:e], begin, end), strict=True))
             sha = lambda values: [hashlib.sha256(v).hexdigest() for v in values]
             yield to_batch(
                 _CODED, ids[k:e], [len(x) // 4 for x in coded], coded if with_values else [None] * (e - k), decoded if with_values else [None] * (e - k), sha(coded), sha([d.encode() for d in decoded])
