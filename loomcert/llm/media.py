@@ -1,6 +1,6 @@
 """Media columns: interleaved sequences of text and media from HTML, with payloads resolved by digest.
 
-`interleave` parses pages into ordered items, text or media reference, each with its position, a reference with its caption. `store_texts`
+`interleave` parses a page into a sequence of structs, text or media reference, each with its position, a reference with its caption. `store_texts`
 keeps payloads as media (8-bit PCM in WAVE) under the digest of what is stored; `read_back` takes them from there. `resolve` joins
 references and media by digest, so positions and captions stay with their payload. Equal media are one row before the join.
 """
@@ -12,6 +12,7 @@ import html as entities
 import io
 import wave
 import zlib
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -27,78 +28,142 @@ _RATE = 8000
 _SILENT = {"script", "style", "template", "noscript"}
 _BREAKS = {"p", "div", "br", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "figure", "figcaption", "table", "tr", "td", "title", "head", "body", "nav", "blockquote", "pre"}
 _MEDIA = {"img", "video", "audio", "source", "embed"}
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
-class _Items(HTMLParser):
+class _Events(HTMLParser):
+    """A page as a list of (kind, tag, attributes or data); kind is start, end or data."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.items: list[dict] = []
-        self.words: list[str] = []
-        self.silent = self.figure = 0
-        self.caption: list[str] | None = None
-        self.in_figure: list[dict] = []
-
-    def end_text(self) -> None:
-        text = " ".join("".join(self.words).split())
-        self.words = []
-        if text:
-            self.items.append({"kind": "text", "text": text, "ref": None, "caption": None})
+        self.events: list[tuple] = []
 
     def handle_starttag(self, tag, attrs):
-        if tag in _SILENT:
-            self.silent += 1
-        if tag in _BREAKS or tag in _MEDIA:
-            self.end_text()
-        if tag == "figure":
-            self.figure += 1
-            self.in_figure = []
-        if tag == "figcaption":
-            self.caption = []
-        src = dict(attrs).get("src")
-        if tag in _MEDIA and src:
-            item = {"kind": "media", "text": None, "ref": src, "caption": dict(attrs).get("alt")}
-            self.items.append(item)
-            if self.figure:
-                self.in_figure.append(item)
+        self.events.append(("start", tag, dict(attrs)))
 
     def handle_endtag(self, tag):
-        if tag in _SILENT:
-            self.silent = max(0, self.silent - 1)
-        if tag == "figcaption" and self.caption is not None:
-            text = " ".join("".join(self.caption).split())
-            for item in self.in_figure:
-                item["caption"] = text or item["caption"]
-            self.caption = None
-        if tag in _BREAKS:
-            self.end_text()
-        if tag == "figure":
-            self.figure = max(0, self.figure - 1)
+        self.events.append(("end", tag, None))
 
     def handle_data(self, data):
-        if not self.silent:
-            (self.words if self.caption is None else self.caption).append(data)
+        self.events.append(("data", None, data))
+
+
+def _ends(events: list[tuple]) -> dict[int, int]:
+    """Where elements that matter here end, by the event that opens them.
+
+    An element ends at its own end tag, or at that of an element around it; hidden ones only at their own, so that one which is left open hides
+    nothing. A caption that is left open till the end of the page ends at the next tag that begins a block.
+    """
+    ends: dict[int, int] = {}
+    open_: list[tuple[str, int]] = []
+    number: Counter[str] = Counter()  # of open elements by tag
+    last_raw = None
+    for k, (kind, tag, _) in enumerate(events):
+        if kind == "start" and tag not in _VOID:
+            open_.append((tag, k))
+            number[tag] += 1
+            last_raw = k if tag in ("script", "style") else last_raw
+        elif kind == "end" and number[tag]:
+            while True:
+                t, start = open_.pop()
+                number[t] -= 1
+                if t == tag or t not in _SILENT:
+                    ends[start] = k
+                if t == tag:
+                    break
+    for tag, start in open_:
+        if tag == "figcaption":
+            ends[start] = next((k for k in range(start + 1, len(events)) if events[k][0] == "start" and events[k][1] in _BREAKS), len(events))
+        elif tag not in _SILENT or start == last_raw:  # what follows an open script or style is its content, not text
+            ends[start] = len(events)
+    return ends
 
 
 def items(html: str | None) -> list[dict]:
-    """A page's texts and media references in order; broken markup is read as far as it goes, null and empty pages have none."""
-    parser = _Items()
+    """A page's texts and media references in order, each with kind, text, ref and caption.
+
+    A reference's caption is that of the innermost figure around it, wherever in the figure it stands, or else its alternative text. A caption
+    of a figure without media is a text. Broken markup loses no text: see `_ends`. Null and empty pages have none.
+    """
+    parser = _Events()
     parser.feed(html or "")
     parser.close()
-    parser.end_text()
-    return parser.items
-
-
-_ITEM = pa.schema([("page_id", pa.int64()), ("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())])
+    events, ends = parser.events, _ends(parser.events)
+    out: list[dict] = []
+    words: list[str] = []
+    figures: list[dict] = []
+    hidden = caption_end = -1
+    caption: list[str] | None = None
+
+    def end_text() -> None:
+        text = " ".join("".join(words).split())
+        words.clear()
+        if text:
+            out.append({"kind": "text", "text": text, "ref": None, "caption": None})
+
+    def end_caption() -> None:
+        nonlocal caption
+        text = " ".join("".join(caption).split())
+        caption = None
+        if text and figures:
+            figures[-1]["captions"].append((len(out), text))
+        elif text:
+            out.append({"kind": "text", "text": text, "ref": None, "caption": None})
+
+    def end_figure() -> None:
+        figure = figures.pop()
+        if figure["media"]:
+            for item in figure["media"]:
+                item["caption"] = " ".join(t for _, t in figure["captions"]) or item["caption"]
+        else:
+            for at, text in reversed(figure["captions"]):
+                out.insert(at, {"kind": "text", "text": text, "ref": None, "caption": None})
+
+    for k, (kind, tag, value) in enumerate([*events, ("end", None, None)]):
+        if caption is not None and k >= caption_end:
+            end_caption()
+        while figures and k >= figures[-1]["end"]:
+            end_text()
+            end_figure()
+        if k < hidden:
+            continue
+        if kind == "data":
+            (words if caption is None else caption).append(value)
+            continue
+        if tag in _BREAKS or tag in _MEDIA:
+            if caption is None:
+                end_text()
+            else:
+                caption.append(" ")
+        if kind == "start" and tag in _SILENT and k in ends:
+            hidden = ends[k]
+        elif kind == "start" and tag == "figure":
+            figures.append({"end": ends[k], "media": [], "captions": []})
+        elif kind == "start" and tag == "figcaption" and caption is None:
+            caption, caption_end = [], ends[k]
+        elif kind == "start" and tag in _MEDIA and value.get("src"):
+            out.append({"kind": "media", "text": None, "ref": value["src"], "caption": value.get("alt")})
+            if figures:
+                figures[-1]["media"].append(out[-1])
+    end_text()
+    return out
+
+
+_STRUCT = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())])
+_SEQUENCE = "array<struct<position: int, kind: string, text: string, ref: string, caption: string>>"
+_PAGES = pa.schema([("page_id", pa.int64()), ("sequence", pa.list_(_STRUCT))])
 _MADE = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("html", pa.string()), ("digest", pa.string()), ("media", pa.binary())])
 _READ = pa.schema([("digest", pa.string()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 _READ_TYPE = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def items_of(batches):
+def sequence(html: str | None) -> list[dict]:
+    return [{"position": k, **x} for k, x in enumerate(items(html))]
+
+
+def sequences_of(batches):
     for batch in batches:
-        rows = [(i, k, x["kind"], x["text"], x["ref"], x["caption"]) for i, h in zip(column(batch, "page_id").to_pylist(), column(batch, "html").to_pylist(), strict=True) for k, x in enumerate(items(h))]
-        if rows:
-            yield to_batch(_ITEM, *zip(*rows, strict=True))
+        yield to_batch(_PAGES, column(batch, "page_id"), [sequence(h) for h in column(batch, "html").to_pylist()])
 
 
 def to_media(payload: bytes) -> bytes:
@@ -154,9 +219,12 @@ def read_of(batches):
 
 
 def interleave(pages: DataFrame) -> DataFrame:
-    """Items of pages (page_id long, html string): page_id, position, kind (text or media), text, ref, caption. Pages without items have no row; other columns are not read."""
+    """A row for each page (page_id long, html string): page_id, sequence (structs of position, kind (text or media), text, ref, caption).
+
+    Null and empty pages have an empty sequence; other columns are not read.
+    """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html"))
-    return pages.mapInArrow(on_executors("media", "items_of"), "page_id long, position int, kind string, text string, ref string, caption string")
+    return pages.mapInArrow(on_executors("media", "sequences_of"), f"page_id long, sequence {_SEQUENCE}")
 
 
 def store_texts(docs: DataFrame, unit: int = UNIT) -> DataFrame:
@@ -175,25 +243,28 @@ def read_back(store: DataFrame) -> DataFrame:
 
 
 def resolve(sequences: DataFrame, media: DataFrame) -> DataFrame:
-    """The items of sequences in their places, with the columns of media (by digest) for references that are there; others have nulls."""
-    digest = F.when(F.col("kind") == "media", F.regexp_extract("ref", f"^{SCHEME}([0-9a-f]{{64}})$", 1))
-    return sequences.withColumn("digest", digest).join(media, "digest", "left")
+    """The media references of sequences (a column `sequence`, any others), a row each: the other columns, the struct's, digest and the columns of
+    media (by digest), null where there is no such media. Position and caption come from the struct, so they stay with their payload."""
+    others = [c for c in sequences.columns if c != "sequence"]
+    found = sequences.select(*others, F.inline(F.filter("sequence", lambda x: x["kind"] == "media")))
+    digest = F.nullif(F.regexp_extract("ref", f"^{SCHEME}([0-9a-f]{{64}})$", 1), F.lit(""))
+    return found.withColumn("digest", digest).join(media, "digest", "left")
 
 
 def media_rows(docs: DataFrame) -> DataFrame:
-    """A row for each row of docs (doc_id long, text string): doc_id, position, caption, n_bytes and what was read back for it.
+    """A row for each row of docs (doc_id long, text string): doc_id, position, caption, n_items and what was read back for it.
 
     Repeated rows have a row each; equal texts have equal media. Other columns are not read. An empty table gives an empty result.
     """
     store = store_texts(docs)
-    parsed = store.select("doc_id", "n_bytes", "html").mapInArrow(on_executors("media", "pages_of"), "doc_id long, n_bytes long, position int, kind string, text string, ref string, caption string")
-    rows = resolve(parsed.where("kind = 'media'"), read_back(store))
-    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    schema = f"doc_id long, n_bytes long, n_items int, sequence {_SEQUENCE}"
+    sequences = store.select("doc_id", "n_bytes", "html").mapInArrow(on_executors("media", "pages_of"), schema)
+    rows = resolve(sequences, read_back(store))
+    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "n_items")
 
 
 def pages_of(batches):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), *list(_ITEM)[1:]])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_items", pa.int32()), ("sequence", pa.list_(_STRUCT))])
     for batch in batches:
-        rows = [(i, n, k, x["kind"], x["text"], x["ref"], x["caption"]) for i, n, h in zip(*(column(batch, c).to_pylist() for c in ("doc_id", "n_bytes", "html")), strict=True) for k, x in enumerate(items(h))]
-        if rows:
-            yield to_batch(schema, *zip(*rows, strict=True))
+        found = [sequence(h) for h in column(batch, "html").to_pylist()]
+        yield to_batch(schema, column(batch, "doc_id"), column(batch, "n_bytes"), [len(x) for x in found], found)
