@@ -60,20 +60,22 @@ _OP8 = """
 WITH c AS (
   SELECT conv_id, turn, role, text, CASE WHEN role = 'user' THEN conv_id || '-' || turn END AS own,
          last_value(CASE WHEN role = 'user' THEN conv_id || '-' || turn END IGNORE NULLS)
-           OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+           OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
   FROM conversations),
-calls AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS lvl FROM c WHERE role = 'user'),
+calls AS (SELECT *, CASE WHEN own IS NOT NULL THEN dense_rank() OVER (PARTITION BY conv_id, own IS NULL ORDER BY turn) - 1 END AS lvl FROM c WHERE role = 'user'),
+ids AS (SELECT DISTINCT conv_id, own, lvl FROM calls WHERE own IS NOT NULL),
 answered AS (SELECT DISTINCT conv_id, before FROM c WHERE role = 'assistant' AND before IS NOT NULL)
 SELECT k.conv_id, k.turn, k.role, 'call' AS type, k.own AS call_id, CAST(2 * k.lvl AS BIGINT) AS level, a.before IS NOT NULL AS linked,
-       CASE WHEN k.text IS NULL THEN 'prompt: missing' WHEN k.text = '' THEN 'prompt: small' ELSE '' END AS errors,
-       '{"arguments":{' || CASE WHEN k.text IS NULL THEN '' ELSE '"prompt":' || CAST(to_json(k.text) AS VARCHAR) || ',' END || '"turn":' || k.turn || '},"call_id":"' || k.own
-         || '","name":"answer","role":"user","type":"call","valid":' || CASE WHEN k.text IS NULL OR k.text = '' THEN 'false' ELSE 'true' END || '}' AS json
+       concat_ws('; ', CASE WHEN k.text IS NULL THEN 'prompt: missing' WHEN k.text = '' THEN 'prompt: small' END, CASE WHEN k.turn IS NULL THEN 'turn: missing' WHEN k.turn < 0 THEN 'turn: small' END) AS errors,
+       '{"arguments":{' || concat_ws(',', CASE WHEN k.text IS NOT NULL THEN '"prompt":' || CAST(to_json(k.text) AS VARCHAR) END, CASE WHEN k.turn IS NOT NULL THEN '"turn":' || k.turn END) || '},'
+         || CASE WHEN k.own IS NULL THEN '' ELSE '"call_id":"' || k.own || '",' END || '"name":"answer","role":"user","type":"call","valid":'
+         || CASE WHEN k.text IS NULL OR k.text = '' OR k.turn IS NULL OR k.turn < 0 THEN 'false' ELSE 'true' END || '}' AS json
 FROM calls k LEFT JOIN answered a ON a.conv_id = k.conv_id AND a.before = k.own
 UNION ALL
 SELECT c.conv_id, c.turn, c.role, 'result', c.before, CAST(2 * k.lvl + 1 AS BIGINT), c.before IS NOT NULL, NULL,
        '{' || CASE WHEN c.before IS NULL THEN '' ELSE '"call_id":"' || c.before || '",' END || CASE WHEN c.text IS NULL THEN '' ELSE '"content":' || CAST(to_json(c.text) AS VARCHAR) || ',' END
          || '"role":"assistant","type":"result"}'
-FROM c LEFT JOIN calls k ON k.conv_id = c.conv_id AND k.own = c.before WHERE c.role = 'assistant'
+FROM c LEFT JOIN ids k ON k.conv_id = c.conv_id AND k.own = c.before WHERE c.role = 'assistant'
 UNION ALL
 SELECT conv_id, turn, role, 'message', NULL, CAST(-1 AS BIGINT), false, NULL,
        '{' || concat_ws(',', CASE WHEN text IS NOT NULL THEN '"content":' || CAST(to_json(text) AS VARCHAR) END, CASE WHEN role IS NOT NULL THEN '"role":' || CAST(to_json(role) AS VARCHAR) END, '"type":"message"') || '}'
