@@ -209,26 +209,36 @@ def test_windows_cover_texts():
     for t in (b"", b"a", b"a b " * 50, b"x" * 1000, b"word " * 100 + b"y" * 200):
         w = toxicity.windows(t)
         assert b"".join(t[a : a + n] for a, n in w.tolist()) == t
-
-
-def test_strings_apart():
-    toxic = [b"the vequla one", b"", b"vequsse and vequla", b"vequn the one", b"x"] * 2
-    ordinary = [b"the one and all", b"sse and la la", b""] * 40
-    got = toxicity.apart(toxic, ordinary)
-    for t, mask in zip(toxic, got, strict=True):
-        whole, expected = b" " + t + b" ", [False] * (len(t) + 2)
-        for n in toxicity.GRAMS:
-            for k in range(len(whole) - n + 1):
-                g = whole[k : k + n]
-                seen, plain = sum(g in b" " + x + b" " for x in toxic), sum(g in b" " + x + b" " for x in ordinary)
-                if b" " not in g[1:-1] and seen >= 3 and (seen + 0.5) / (len(toxic) + 1) > toxicity.RATIO * (plain + 0.5) / (len(ordinary) + 1):
-                    expected[k : k + n] = [True] * n
-        assert mask.tolist() == expected
-    assert any(m.any() for m in got) and toxicity.told_apart(toxic[0], got[0])
-    assert toxicity.apart([], ordinary) == [] and not any(m.any() for m in toxicity.apart([b"", b"abc"], []))
-    x = b"one two three four five six seven eight nine ten"
-    parts, s = toxicity._primed(x, toxicity.windows(x))
-    assert b"".join(parts[a + len(toxicity.PRIME) : a + n] for a, n in s.tolist()) == x
+        parts, s = toxicity.primed(t, w) if len(w) else (b"", w)
+        assert [parts[a : a + n] for a, n in s.tolist()] == [toxicity.PRIME + t[a : a + n] + toxicity.TAIL for a, n in w.tolist()]
+
+
+def test_dictionaries_learn_what_toxic_texts_share():
+    """Words of several toxic texts and of no ordinary one stay, also short ones; words of both, or of one text, don't."""
+    rng = np.random.default_rng(4)
+    plain = ["".join(rng.choice(list("abcdefghij"), rng.integers(3, 9))) for _ in range(400)]
+    text = lambda *more: " ".join([*rng.choice(plain, 60), *more, *rng.choice(plain, 20)]).encode()
+    toxic = [text("vequla" if k % 2 else "zork", f"only{k}x") for k in range(60)]
+    ordinary = [text("usual") for _ in range(300)]
+    own, against = toxicity.train(toxic + [text("usual", "zork")], ordinary)
+    assert b" zork " in against and b" vequla " in against and b"usual" not in against and b"only" not in against and len(against) < 200
+    assert toxicity.train([], []) and toxicity.train([b"", b"one two"], [])
+    saved = toxicity.saved_on([b" zork ", b" usual ", b" vequla "], own, against)
+    assert saved[0] >= 2 and saved[2] >= 2 and saved[1] < 2
+    e = toxicity.evidence_of(np.array([[5, 0, 3], [9, 1, 0], [7, 0, 0]]), np.array([1, 0, 0]))
+    assert e[0] == 0 and (np.diff(e) >= 0).all() and e[2] > 0
+
+
+def test_toxicity_samples_rows(spark):
+    """An id with many rows counts as its rows, each once; long texts are sampled too, up to the bytes allowed."""
+    words = [f"{c}{d}un" for c in "bcdfg" for d in "aeiou"]
+    rows = [(7, "same text " * 5)] * 500 + [(7, f"row {k}") for k in range(5)] + [(k, " ".join(words[(k * j) % 25] for j in range(1, 40)) + (" zorkuli" if k % 2 else "")) for k in range(8, 200)] + [(300, "long zorkuli " * 20000)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(7, 0), (300, 1), (300, 0), *((k, k % 2) for k in range(8, 200)), (None, 1), (9, 5)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, F.lit(True))
+    assert b" zorkuli " in model.toxic
+    assert [r.predicted for r in toxicity.score_toxicity(docs.where("doc_id in (300, 8)"), model).orderBy("doc_id").collect()] == [0, 1]
+    assert toxicity.fit(docs, labels, F.lit(True), sample_bytes=1).toxic == b""
 
 
 def test_quality(spark, documents, odd, none):
@@ -263,10 +273,22 @@ def test_pieces(spark, documents, odd, none):
     c = pieces.codec(path)
     for _, t in [*ODD, (0, " a  b ▁c "), (0, "<s></s><0x41>"), (0, "日本퟿🤯 \t")]:
         ids = lib.encode(t or "", add_bos=True, add_eos=True)
-        assert np.frombuffer(c.encode_batch([t or ""])[0], "<u4").tolist() == ids and c.decode(np.array(ids, "<u4").tobytes()) == lib.decode(ids)
+        assert np.frombuffer(c.encode_batch([t or ""])[0][0], "<u4").tolist() == ids and c.encode_batch([t or ""])[0][1] == c.decode(np.array(ids, "<u4").tobytes()) == lib.decode(ids)
     assert pieces.encode_decode(none, path).count() == 0
 
 
+def test_a_million_characters_without_a_space():
+    import time
+
+    import public_tokenizers
+
+    c = pieces.codec(public_tokenizers.path("piece_bpe_32k.model"))
+    t = "".join(np.random.default_rng(1).choice(list("abcdefghijklmnop漢字"), 1_000_000))
+    began = time.perf_counter()
+    ids, text = c.encode_batch([t])[0]
+    assert text == t and time.perf_counter() - began < 60 and np.frombuffer(ids, "<u4").tolist() == c.library.encode(t, add_bos=True, add_eos=True)
+
+
 def test_fingerprints(spark, documents, odd, none):
     rows = sorted((r.doc_id, r.text) for r in documents.select("doc_id", "text").collect())
     got = {r.doc_id: r for r in fingerprints.fingerprint_neighbours(documents.repartition(7)).collect()}
@@ -293,7 +315,34 @@ def test_media(spark, documents, odd, none):
     html = '<p>one <b>two</b></p><script>x</script><figure><img src="media:00"><figcaption>the <i>cap</i></figcaption></figure><p>three</p><img alt="a" src=u>'
     assert [(x["kind"], x["text"] or x["ref"], x["caption"]) for x in media.items(html)] == [("text", "one two", None), ("media", "media:00", "the cap"), ("text", "three", None), ("media", "u", "a")]
     pages = spark.read.parquet(f"{ROOT}/pages.parquet")
-    assert media.interleave(pages).where("kind = 'text'").select("page_id").distinct().count() == pages.count()
+    found = media.interleave(pages).collect()
+    assert len(found) == pages.count() and all([x.position for x in r.sequence] == list(range(len(r.sequence))) and any(x.kind == "text" for x in r.sequence) for r in found)
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<figure><img src=a><figcaption>cap</figure><p>rest</p><p>more</p>", [("m", "a", "cap"), ("t", "rest", None), ("t", "more", None)]),
+        ("<template>x<p>rest</p><p>more", [("t", "x", None), ("t", "rest", None), ("t", "more", None)]),
+        ("<div><noscript>a</div><p>b", [("t", "a", None), ("t", "b", None)]),
+        ("<template>x</template><script>y</script><p>rest", [("t", "rest", None)]),
+        ("<figure><figcaption>c</figcaption><img src=a alt=no></figure>after", [("m", "a", "c"), ("t", "after", None)]),
+        ("<p>s<figure><figcaption>only</figcaption></figure><p>t", [("t", "s", None), ("t", "only", None), ("t", "t", None)]),
+        ("<figure><img src=a><figcaption>open<p>rest</p><h1>more</h1>", [("m", "a", "open"), ("t", "rest", None), ("t", "more", None)]),
+        ("<figure><img src=a><figure><img src=b><figcaption>in</figcaption></figure><figcaption>out</figcaption></figure>x", [("m", "a", "out"), ("m", "b", "in"), ("t", "x", None)]),
+        ("</figure></p>x<img><img src=q>", [("t", "x", None), ("m", "q", None)]),
+        (None, []),
+    ],
+)
+def test_broken_pages_lose_no_text(html, want):
+    assert [(x["kind"][0], x["text"] or x["ref"], x["caption"]) for x in media.items(html)] == want
+
+
+def test_references_keep_their_places(spark):
+    page = f'<p>a</p><img src="media:{"0" * 64}" alt=one><p>b</p><img src="media:{"1" * 64}"><img src="http://x">'
+    media_ = spark.createDataFrame([("0" * 64, 5)], "digest string, payload_bytes long")
+    got = media.resolve(media.interleave(spark.createDataFrame([(1, page), (1, page), (2, None)], "page_id long, html string")), media_).collect()
+    assert Counter((r.page_id, r.position, r.caption, r.payload_bytes) for r in got) == Counter({(1, 1, "one", 5): 2, (1, 3, None, None): 2, (1, 4, None, None): 2})
 
 
 def test_chat(spark):
@@ -319,6 +368,40 @@ def test_chat(spark):
     assert chat.format_chat(calls.limit(0), results.limit(0), others.limit(0), schema).count() == 0
 
 
+def test_calls_come_after_all_that_they_name(spark):
+    """Levels against the longest path by brute force, with ids in several rows, joints in chains, cycles and what follows them."""
+    edges = {"a": [], "b": ["a"], "c": [], "d": ["a", "c"], "c2": ["c"], "c3": ["c2"], "e": ["d", "c3"], "f": ["e"], "g": ["f", "b", "nowhere"], "x": ["y"], "y": ["x"], "z": ["x", "a"], "w": ["z"], "s": ["s"], "t": ["g", "e"]}
+
+    def level(k, seen=()):
+        if k in seen:
+            return None
+        under = [level(x, (*seen, k)) for x in edges[k] if x in edges]
+        return None if None in under else max([-1, *under]) + 1
+
+    rows = [(c, 0, "user", k, "f", "{}", x) for c in (1, 2) for k, xs in edges.items() for x in (xs or [None])]
+    calls = spark.createDataFrame([*rows, *rows[:3], (None, 0, "user", "a", "f", "{}", None)], "conv_id long, turn long, role string, call_id string, name string, arguments string, after string")
+    got = {(r.conv_id, r.call_id): r.level for r in chat.levels(calls.where("conv_id is not null")).collect()}
+    assert got == {(c, k): level(k) for c in (1, 2) for k in edges}
+
+
+def test_equal_numbers_are_written_alike(spark):
+    rows = ["[1e2, 100, 100.0, 1.0E+2, -0, -0.0, 0.10, 1E-2, 123456789012345678901234567890, 1e30, 1000000000000000000000000000000, 1.5e-30]", '{"b": "1e2 \\"3.0\\" -5", "a": {"d": 2.50, "c": null}}', "1e2", "no", None]
+    got = [r[0] for r in spark.createDataFrame([(r,) for r in rows], "j string").select(chat.canonical(F.col("j"))).collect()]
+    big = "1" + "0" * 30
+    assert got[0] == f"[100,100,100,100,0,0,0.1,0.01,123456789012345678901234567890,{big},{big},1.5E-30]" and got[1:] == ['{"a":{"c":null,"d":2.5},"b":"1e2 \\"3.0\\" -5"}', "100", None, None]
+
+
+def test_chat_on_awkward_turns(spark, tmp_path):
+    """Nulls in every column, repeated rows, ties and other columns, against the SQL."""
+    rows = [(1, 1, "user", "a"), (1, 2, "assistant", "b"), (1, 2, "assistant", "b"), (1, 3, "user", ""), (1, 3, "user", "again"), (1, 4, None, "x"), (1, 5, "assistant", None), (None, 1, "user", "n"), (None, 2, "assistant", "n"), (2, None, "user", None), (2, None, "assistant", "r"), (2, 1, "system", None), (2, 2, "assistant", "r"), (3, -1, "user", "neg"), (None, None, None, None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'c' as call_id", "1 as level", "'q' as stop").write.parquet(f"{tmp_path}/conversations.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view conversations as select conv_id, turn, role, text from '{tmp_path}/conversations.parquet/*.parquet'")
+    want = c.sql(queries.ORACLES["op8_chat"])
+    got = queries.op8_chat(spark, str(tmp_path)).select(want.columns).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall()))
+
+
 def test_chat_keeps_any_character(spark):
     import json
 
