@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomcert.llm import jaccard, langid, packing, suffixes, toxicity
 from loomcert.llm.queries import held_out, to_pack
-from loomcert.llm.util import read_table, stored
+from loomcert.llm.util import read_table, stored, unused
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,11 +29,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of a character that isn't kept whole go, too; n_chars follows the text. Texts may get empty, rows stay."""
-    cut = suffixes.repeated_bytes(docs, with_text=True).where("n_removed > 0").select(F.col("row").alias("__row"), F.col("kept").alias("__kept")).dropDuplicates(["__row"])
-    rows = suffixes.with_row(docs, "__row").join(cut, "__row", "left")
-    text = F.when(F.col("__kept").isNull(), F.col("text")).otherwise(F.col("__kept"))
-    new = {"text": text, "n_chars": F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(F.char_length(text)).cast(docs.schema["n_chars"].dataType)}
+    """Bytes of a character that isn't kept whole go, too; n_chars, where there is one, follows the text. Texts may get empty, rows stay."""
+    row, kept = unused(docs, "row"), unused(docs, "kept")
+    cut = suffixes.repeated_bytes(docs, with_text=True).where("n_removed > 0").select(F.col("row").alias(row), F.col("kept").alias(kept)).dropDuplicates([row])
+    rows = suffixes.with_row(docs, row).join(cut, row, "left")
+    text = F.coalesce(F.col(kept), F.col("text"))
+    new = {"text": text}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col(kept).isNull(), F.col("n_chars")).otherwise(F.char_length(text)).cast(docs.schema["n_chars"].dataType)
     return rows.select([new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
