@@ -86,3 +86,13 @@ def ceil_log2(n: int) -> int:
 def least_degree(rows: int, headroom: int = 64) -> int:
     """The least k with 2**k rows and headroom."""
     return ceil_log2(rows + headroom)
+
+
+def cell_text(x: Column) -> Column:
+    """A cell as text that can be joined to others without doubt: n for null, else its length, a colon and itself."""
+    s = x.cast("string")
+    return F.coalesce(F.concat(F.char_length(s).cast("string"), F.lit(":"), s), F.lit("n"))
+
+
+def cell_sql(c: str) -> str:
+    return f"COALESCE(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), 'n')"

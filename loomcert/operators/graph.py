@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
+from ..sources.store import stored
 from ..sources.tables import event_edges
 
 _N = "decimal(38,0)"
+LOT = 4096
 EDGES = """edges AS (SELECT * FROM (SELECT CAST(row_number() OVER (ORDER BY ts, event_id) - 1 AS BIGINT) AS eid, user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst FROM events) WHERE dst IS NOT NULL),
 m AS (SELECT src, dst, CAST(count(*) AS HUGEINT) AS n FROM edges GROUP BY ALL)"""
 
@@ -31,30 +33,45 @@ def _total(df: DataFrame, value, name: str) -> DataFrame:
     return df.agg(F.coalesce(F.sum(value), F.lit(0)).cast("bigint").alias(name))
 
 
+def counted(edges: DataFrame) -> DataFrame:
+    """multiplicity, written once for all the roles that it plays in a plan."""
+    return stored(multiplicity(edges), "multiplicity")
+
+
 def paths(edges: DataFrame, hops: int, name: str) -> DataFrame:
     """The number of paths whose nodes ascend but for the last hop, which is free.
 
     Counts go from the last node to the first by node: how many paths of k hops start at each node. A node's count only depends on
     what comes after it, so each hop is one join and one sum, over at most all distinct edges.
     """
-    m = multiplicity(edges)
+    m = counted(edges)
     after = _out(m)
     for _ in range(hops - 2):
         after = _step(m, after).groupBy("src").agg(F.sum((F.col("n") * F.col("w")).cast(_N)).cast(_N).alias("n"))
     return _total(_step(m, after), (F.col("n") * F.col("w")).cast(_N), name)
 
 
-def wedges(edges: DataFrame) -> DataFrame:
-    """a -> b -> c with a < b, by distinct edges with their number."""
-    m = multiplicity(edges)
+def meet(left: DataFrame, right: DataFrame, key: str, by: str, lot: int = LOT) -> DataFrame:
+    """left and right joined on key, where a key with more than `lot` rows of left is dealt to lots of about that size by a hash of `by`, and
+    its rows of right go to each: so what a hub makes is shared out among tasks."""
+    heavy = left.groupBy(key).agg(F.count("*").alias("__k")).where(F.col("__k") > lot).select(key, F.ceil(F.col("__k") / lot).cast("int").alias("__lots"))
+    lots = F.coalesce("__lots", F.lit(1))
+    a = left.join(heavy, key, "left").withColumn("__lot", F.pmod(F.xxhash64(by), lots).cast("int")).drop("__lots")
+    b = right.join(heavy, key, "left").withColumn("__lot", F.explode(F.sequence(F.lit(0), lots - 1))).drop("__lots")
+    return a.join(b, [key, "__lot"]).drop("__lot")
+
+
+def wedges(m: DataFrame) -> DataFrame:
+    """a -> b -> c with a < b, by distinct edges (src, dst, n) with their number."""
     first = m.where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("n").alias("n1"))
     second = m.select(F.col("src").alias("b"), F.col("dst").alias("c"), F.col("n").alias("n2"))
-    return first.join(second, "b").select("a", "b", "c", (F.col("n1") * F.col("n2")).cast(_N).alias("n"))
+    return meet(first, second, "b", "a").select("a", "b", "c", (F.col("n1") * F.col("n2")).cast(_N).alias("n"))
 
 
 def triangles(edges: DataFrame) -> DataFrame:
-    m = multiplicity(edges).select(F.col("src").alias("c"), F.col("dst").alias("a"), F.col("n").alias("w"))
-    return _total(wedges(edges).where("b < c").join(m, ["a", "c"]), (F.col("n") * F.col("w")).cast(_N), "triangles")
+    m = counted(edges)
+    back = m.select(F.col("src").alias("c"), F.col("dst").alias("a"), F.col("n").alias("w"))
+    return _total(wedges(m).where("b < c").join(back, ["a", "c"]), (F.col("n") * F.col("w")).cast(_N), "triangles")
 
 
 def four_cycles(edges: DataFrame) -> DataFrame:
@@ -62,7 +79,7 @@ def four_cycles(edges: DataFrame) -> DataFrame:
 
     The second half c -> d -> a is the bag of wedges again, in its other role: its middle is greater than its first node, and its last is less.
     """
-    w = wedges(edges)
+    w = wedges(counted(edges))
     first = w.where("b < c").groupBy("a", "c").agg(F.sum("n").cast(_N).alias("n1"))
     second = w.where("c < a").groupBy(F.col("a").alias("c"), F.col("c").alias("a")).agg(F.sum("n").cast(_N).alias("n2"))
     return _total(first.join(second, ["a", "c"]), (F.col("n1") * F.col("n2")).cast(_N), "cycles")

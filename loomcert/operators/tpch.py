@@ -84,10 +84,14 @@ def q8(t, region: str = REGION8, nation: str = NATION8, kind: str = TYPE8, years
     return g.withColumn("share", F.when(F.col("den") == 0, F.lit(0.0)).otherwise(F.col("num").cast("double") / F.col("den").cast("double"))).orderBy("o_year")
 
 
-def partsupp(t) -> DataFrame:
-    """The pairs of part and supplier in lineitem, with a cost in thousandths made from price and supplier, as the tables have none."""
-    pairs = t("lineitem").select("l_partkey", "l_suppkey").distinct()
-    p = t("part").select("p_partkey", "p_retailprice")
+def partsupp(t, chosen: Column | None = None) -> DataFrame:
+    """The pairs of part and supplier in lineitem, of the chosen parts only if there is a condition, with a cost in thousandths made from price
+    and supplier, as the tables have none."""
+    p = (t("part") if chosen is None else t("part").where(chosen)).select("p_partkey", "p_retailprice")
+    pairs = t("lineitem").select("l_partkey", "l_suppkey")
+    if chosen is not None:
+        pairs = pairs.join(p, F.col("l_partkey") == F.col("p_partkey"), "left_semi")
+    pairs = pairs.distinct()
     cost = F.floor(fixed(F.col("p_retailprice")) / 20).cast("bigint") + (F.col("l_suppkey") % 10) * 1000
     return pairs.join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_partkey").alias("ps_partkey"), F.col("l_suppkey").alias("ps_suppkey"), cost.alias("ps_cost"))
 
@@ -108,7 +112,7 @@ def profit(t, chosen: Column) -> DataFrame:
     line = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount").join(p, F.col("l_partkey") == F.col("p_partkey"), "left_semi")
     s = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
     o = t("orders").select("o_orderkey", F.year("o_orderdate").cast("bigint").alias("o_year"))
-    ps = partsupp(t)
+    ps = partsupp(t, chosen)
     joined = line.join(ps, (F.col("l_partkey") == F.col("ps_partkey")) & (F.col("l_suppkey") == F.col("ps_suppkey"))).join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     amount = fixed(F.col("l_extendedprice")) * (1000 - fixed(F.col("l_discount"))) - F.col("ps_cost") * F.col("l_quantity").cast("bigint") * 1000
     return joined.groupBy("n_name", "o_year").agg(F.sum(amount).cast("bigint").alias("profit")).orderBy("n_name", F.desc("o_year"))

@@ -1,7 +1,8 @@
 """Join trees: full reduction by semijoins, and the four checks of a join's evidence.
 
 A node is a relation with a row id and a predicate; an edge is a list of column pairs of parent and child. All checks are plans of one
-row each, and no relation is collected. Reduction goes from the leaves to the root and back: a row is clean if it extends to a row of the join.
+row each, and no relation is collected. Reduction goes from the leaves to the root and back and flags rows: one is clean if it extends to a
+row of the join.
 """
 
 from __future__ import annotations
@@ -9,9 +10,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce as fold
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import stored
+
 
 @dataclass
 class Node:
@@ -35,101 +38,114 @@ class Node:
             yield from c.edges()
 
 
-def with_rid(df: DataFrame, *order: str) -> DataFrame:
-    """A row id: a number within each key of the given columns (all, unless given), so that equal rows differ without a global order."""
-    cols = list(order or df.columns)
-    k = F.row_number().over(Window.partitionBy(*cols).orderBy(F.lit(0)))
-    return df.withColumn("rid", F.concat(F.sha2(F.to_json(F.struct(*cols)), 256), F.lit("-"), k.cast("string")))
+def row_id() -> Column:
+    """A row's place in the files of a table: to be selected where the table is read. It takes no order and no shuffle."""
+    return F.concat_ws("#", "_metadata.file_name", "_metadata.row_index").alias("rid")
 
 
 def keys_of(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*(F.col(n).alias(f"k{i}") for i, n in enumerate(names))).distinct()
 
 
-def _semi(df: DataFrame, names: list[str], keys: DataFrame) -> DataFrame:
-    on = [F.col(n) == F.col(f"k{i}") for i, n in enumerate(names)]
-    return df.join(keys, fold(lambda a, b: a & b, on), "left_semi")
+def _met(df: DataFrame, names: list[str], keys: DataFrame) -> DataFrame:
+    """df, whose rows are no longer clean where their key is not among the keys."""
+    on = fold(lambda a, b: a & b, [F.col(n) == F.col(f"k{i}") for i, n in enumerate(names)])
+    return df.join(keys.withColumn("__met", F.lit(True)), on, "left").withColumn("clean", F.col("clean") & F.coalesce("__met", F.lit(False))).drop("__met", *keys.columns)
+
+
+def chosen(n: Node) -> DataFrame:
+    """All rows of a node, clean where they meet its predicate."""
+    return n.rows.withColumn("clean", F.lit(True) if n.predicate is None else F.coalesce(n.predicate, F.lit(False)))
 
 
 def reduce_tree(root: Node) -> dict[str, DataFrame]:
-    """The clean rows of every node."""
+    """All rows of every node with the flag `clean`.
+
+    One pass up and one down: each edge's clean keys are written once for each direction, distinct, and nothing else is. So a relation is
+    read once on the way up, once on the way down if it has children, and once by whoever asks for its rows, with a join for each edge.
+    """
+    up: dict[str, DataFrame] = {}
+    state: dict[str, DataFrame] = {}
 
-    def up(n: Node) -> DataFrame:
-        df = n.rows if n.predicate is None else n.rows.where(n.predicate)
+    def rise(n: Node) -> None:
+        df = chosen(n)
         for c, pairs in n.children:
-            clean[c.name] = up(c)
-            df = _semi(df, [p for p, _ in pairs], keys_of(clean[c.name], [q for _, q in pairs]))
-        return df
+            rise(c)
+            df = _met(df, [p for p, _ in pairs], stored(keys_of(up[c.name].where("clean"), [q for _, q in pairs]), "up"))
+        up[n.name] = df
 
-    def down(n: Node) -> None:
+    def fall(n: Node) -> None:
         for c, pairs in n.children:
-            clean[c.name] = _semi(clean[c.name], [q for _, q in pairs], keys_of(clean[n.name], [p for p, _ in pairs]))
-            down(c)
+            keys = stored(keys_of(state[n.name].where("clean"), [p for p, _ in pairs]), "down")
+            state[c.name] = _met(up[c.name], [q for _, q in pairs], keys)
+            fall(c)
 
-    clean: dict[str, DataFrame] = {}
-    clean[root.name] = up(root)
-    down(root)
-    return clean
+    rise(root)
+    state[root.name] = up[root.name]
+    fall(root)
+    return state
 
 
-def sizes(root: Node, clean: dict[str, DataFrame]) -> DataFrame:
+def sizes(root: Node, state: dict[str, DataFrame]) -> DataFrame:
     """(relation, n_rows, n_clean)."""
-    rows = [n.rows.agg(F.lit(n.name).alias("relation"), F.count("*").alias("n_rows")).join(clean[n.name].agg(F.count("*").alias("n_clean"))) for n in root.walk()]
-    return fold(DataFrame.unionByName, rows)
+    count = F.coalesce(F.sum(F.col("clean").cast("bigint")), F.lit(0).cast("bigint"))
+    return fold(DataFrame.unionByName, [state[n.name].agg(F.lit(n.name).alias("relation"), F.count("*").alias("n_rows"), count.alias("n_clean")) for n in root.walk()])
 
 
-def conservation(root: Node, clean: dict[str, DataFrame]) -> DataFrame:
-    """(relation, n_rows, n_clean, n_residual, ok): clean and residual rows are the relation, each row once."""
+def conservation(root: Node, state: dict[str, DataFrame]) -> DataFrame:
+    """(relation, n_rows, n_clean, n_residual, ok): clean and residual rows are the relation's rows, each once."""
     out = []
+    sign = F.coalesce(F.sum(F.xxhash64("rid").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
     for n in root.walk():
-        flags = n.rows.select("rid").join(clean[n.name].select("rid", F.lit(1).alias("c")), "rid", "left").groupBy("rid").agg(F.count("*").alias("m"), F.coalesce(F.max("c"), F.lit(0)).alias("c"))
-        strays = clean[n.name].select("rid").join(n.rows.select("rid"), "rid", "left_anti").agg(F.count("*").alias("strays"))
-        totals = flags.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum("c"), F.lit(0)).cast("long").alias("n_clean"), F.coalesce(F.max("m"), F.lit(1)).alias("most")).join(strays)
-        out.append(totals.select(F.lit(n.name).alias("relation"), "n_rows", "n_clean", (F.col("n_rows") - F.col("n_clean")).alias("n_residual"), ((F.col("most") == 1) & (F.col("strays") == 0)).alias("ok")))
+        base = n.rows.agg(F.count("*").alias("n_rows"), sign.alias("base"))
+        each = state[n.name].groupBy("rid").agg(F.count("*").alias("m"), F.sum(F.col("clean").cast("bigint")).alias("c"))
+        found = each.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("n"), F.coalesce(F.sum("c"), F.lit(0)).alias("n_clean"), F.coalesce(F.max("m"), F.lit(1)).alias("most"), sign.alias("own"))
+        ok = (F.col("most") == 1) & (F.col("n") == F.col("n_rows")) & (F.col("base") == F.col("own"))
+        out.append(base.join(found).select(F.lit(n.name).alias("relation"), "n_rows", "n_clean", (F.col("n_rows") - F.col("n_clean")).alias("n_residual"), ok.alias("ok")))
     return fold(DataFrame.unionByName, out)
 
 
-def selector(root: Node, clean: dict[str, DataFrame]) -> DataFrame:
+def selector(root: Node, state: dict[str, DataFrame]) -> DataFrame:
     """(relation, violations): clean rows that fail their predicate."""
-    bad = lambda n: F.lit(False) if n.predicate is None else ~F.coalesce(n.predicate, F.lit(False))
-    return fold(DataFrame.unionByName, [clean[n.name].agg(F.lit(n.name).alias("relation"), F.count(F.when(bad(n), 1)).alias("violations")) for n in root.walk()])
+    bad = lambda n: F.lit(False) if n.predicate is None else F.col("clean") & ~F.coalesce(n.predicate, F.lit(False))
+    return fold(DataFrame.unionByName, [state[n.name].agg(F.lit(n.name).alias("relation"), F.count(F.when(bad(n), 1)).alias("violations")) for n in root.walk()])
 
 
-def pairwise(root: Node, clean: dict[str, DataFrame]) -> DataFrame:
+def pairwise(root: Node, state: dict[str, DataFrame]) -> DataFrame:
     """(edge, only_parent, only_child): keys of an edge that only one side's clean rows have."""
     out = []
     for p, c, pairs in root.edges():
-        a, b = keys_of(clean[p.name], [x for x, _ in pairs]), keys_of(clean[c.name], [y for _, y in pairs])
-        on = a.columns
-        only = lambda x, y, name: x.join(y, on, "left_anti").agg(F.count("*").alias(name))  # noqa: E731, B023
-        out.append(only(a, b, "only_parent").join(only(b, a, "only_child")).select(F.lit(f"{p.name}-{c.name}").alias("edge"), "only_parent", "only_child"))
+        side = lambda n, names, mark: keys_of(state[n.name].where("clean"), names).withColumn("__s", F.lit(mark))
+        both = side(p, [x for x, _ in pairs], 1).unionByName(side(c, [y for _, y in pairs], 2))
+        seen = both.groupBy(*(f"k{i}" for i in range(len(pairs)))).agg(F.sum("__s").alias("__s"))
+        count = lambda mark: F.count(F.when(F.col("__s") == mark, 1))
+        out.append(seen.agg(F.lit(f"{p.name}-{c.name}").alias("edge"), count(1).alias("only_parent"), count(2).alias("only_child")))
     return fold(DataFrame.unionByName, out)
 
 
-def _mu(n: Node, clean: dict[str, DataFrame]) -> DataFrame:
+def _mu(n: Node, state: dict[str, DataFrame]) -> DataFrame:
     """A node's rows with the number of join rows below each, of all rows and of clean rows; absent keys count 0."""
     number = "decimal(38,0)"
-    b = F.lit(1) if n.predicate is None else F.when(n.predicate, 1).otherwise(0)
-    df = n.rows.withColumn("__b", b).join(clean[n.name].select("rid", F.lit(1).alias("__c")), "rid", "left")
-    df = df.withColumns({"__all": F.col("__b").cast(number), "__cln": (F.coalesce("__c", F.lit(0)) * F.col("__b")).cast(number)}).drop("__b", "__c")
+    b = F.lit(True) if n.predicate is None else F.coalesce(n.predicate, F.lit(False))
+    df = state[n.name].withColumns({"__all": b.cast("int").cast(number), "__cln": (F.col("clean") & b).cast("int").cast(number)})
     for k, (c, pairs) in enumerate(n.children):
-        below = _mu(c, clean).groupBy(*(F.col(y).alias(f"__k{k}_{i}") for i, (_, y) in enumerate(pairs))).agg(F.sum("__all").cast(number).alias("__a"), F.sum("__cln").cast(number).alias("__d"))
+        below = _mu(c, state).groupBy(*(F.col(y).alias(f"__k{k}_{i}") for i, (_, y) in enumerate(pairs))).agg(F.sum("__all").cast(number).alias("__a"), F.sum("__cln").cast(number).alias("__d"))
         on = fold(lambda x, y: x & y, [F.col(x) == F.col(f"__k{k}_{i}") for i, (x, _) in enumerate(pairs)])
         df = df.join(below, on, "left")
         df = df.withColumns({"__all": (F.col("__all") * F.coalesce("__a", F.lit(0))).cast(number), "__cln": (F.col("__cln") * F.coalesce("__d", F.lit(0))).cast(number)}).drop("__a", "__d", *(f"__k{k}_{i}" for i in range(len(pairs))))
     return df
 
 
-def cardinality(root: Node, clean: dict[str, DataFrame]) -> DataFrame:
+def cardinality(root: Node, state: dict[str, DataFrame]) -> DataFrame:
     """(join_all, join_clean): the join's number of rows by propagated multiplicities, over all and over clean rows; equal for a right reduction."""
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
-    return _mu(root, clean).agg(total("__all").alias("join_all"), total("__cln").alias("join_clean"))
+    return _mu(root, state).agg(total("__all").alias("join_all"), total("__cln").alias("join_clean"))
 
 
-def verdict(root: Node, clean: dict[str, DataFrame]) -> DataFrame:
+def verdict(root: Node, state: dict[str, DataFrame]) -> DataFrame:
     """One row with the outcome of each check."""
-    a = conservation(root, clean).agg(F.min(F.col("ok").cast("int")).alias("conservation"))
-    b = selector(root, clean).agg((F.sum("violations") == 0).cast("int").alias("selector"))
-    c = pairwise(root, clean).agg((F.sum(F.col("only_parent") + F.col("only_child")) == 0).cast("int").alias("pairwise"))
-    d = cardinality(root, clean).select((F.col("join_all") == F.col("join_clean")).cast("int").alias("cardinality"))
+    a = conservation(root, state).agg(F.min(F.col("ok").cast("int")).alias("conservation"))
+    b = selector(root, state).agg((F.sum("violations") == 0).cast("int").alias("selector"))
+    c = pairwise(root, state).agg((F.sum(F.col("only_parent") + F.col("only_child")) == 0).cast("int").alias("pairwise"))
+    d = cardinality(root, state).select((F.col("join_all") == F.col("join_clean")).cast("int").alias("cardinality"))
     return a.join(b).join(c).join(d)
