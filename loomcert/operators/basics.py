@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import encode as E
-from ..plans.registry import query
-from ..sources.tables import cap_rows, event_edges, require_nonempty
-from .graph import EDGES, multiplicity, wedge_size, wedges
-from .tpch import _REV, moment, revenue
+from ..plans.registry import ORACLES, query
+from ..sources.store import in_ranges, new_place, placed, stored
+from ..sources.tables import GRAPHS, cap_rows, edges_from_text, event_edges, load_graph, require_nonempty, text_table, write_edges, write_text_table
+from .graph import EDGES, counted, multiplicity, wedge_size, wedges
+from .tpch import _REV, END5, START5, moment, revenue
 
 _F = "CAST(trunc(1000.0::DOUBLE*{}) AS BIGINT)"
 _COLUMNS = {
@@ -21,6 +24,8 @@ _COLUMNS = {
     "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
     "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"],
 }
+#: Tables with a key and a text column, by which their delimited form is compared.
+_DELIMITED = {"nation": ("n_regionkey", "n_name"), "region": ("r_regionkey", "r_name"), "part": ("p_size", "p_type"), "customer": ("c_custkey", "c_mktsegment"), "supplier": ("s_nationkey", "s_name"), "orders": ("o_custkey", "o_orderpriority"), "lineitem": ("l_partkey", "l_returnflag")}
 for _name, _cols in _COLUMNS.items():
     query(f"scan_{_name}", f"SELECT {', '.join(_cols)} FROM {_name}")(lambda t, n=_name, c=_cols: t(n).select(*c))
 
@@ -37,14 +42,30 @@ def scan_edges(t) -> DataFrame:
     return event_edges(t("events")).select("eid", "src", "dst")
 
 
-for _form, _sep in (("ws", " "), ("csv", ","), ("tolerant", ", ")):
+for _form in ("ws", "csv", "tolerant"):
 
     @query(f"scan_edges_{_form}", f"WITH {EDGES} SELECT src, dst FROM edges")
-    def scan_edges_text(t, sep: str = _sep) -> DataFrame:
-        """Edges through their text form and back, as the readers of edge files parse it."""
-        line = F.concat_ws(sep, "src", "dst")
-        parts = F.split(F.trim(line), r"[\s,]+")
-        return event_edges(t("events")).select(parts[0].cast("long").alias("src"), parts[1].cast("long").alias("dst"))
+    def scan_edges_text(t, form: str = _form) -> DataFrame:
+        """Edges of a text file, which is written first: by white space, by comma under a header, or by either among comments."""
+        edges = event_edges(t("events"))
+        path = new_place(edges.sparkSession, f"edges-{form}")
+        write_edges(edges, path, form)
+        return edges_from_text(edges.sparkSession, path, form)
+
+
+@query("scan_text_tables", " UNION ALL ".join(f"SELECT '{n}' AS relation, count(*) AS n, CAST(sum({k}) AS BIGINT) AS keys, CAST(sum(length({s})) AS BIGINT) AS letters FROM {n}" for n, (k, s) in _DELIMITED.items()))
+def scan_text_tables(t) -> DataFrame:
+    """Every table in its delimited form, written and read with its fixed schema: rows, the sum of a key, the length of a text."""
+    from functools import reduce
+
+    out = []
+    for name, (key, text) in _DELIMITED.items():
+        df = t(name)
+        path = new_place(df.sparkSession, name)
+        write_text_table(df, path, name)
+        back = text_table(df.sparkSession, path, name)
+        out.append(back.agg(F.lit(name).alias("relation"), F.count("*").alias("n"), F.sum(key).alias("keys"), F.sum(F.char_length(text)).alias("letters")))
+    return reduce(DataFrame.unionByName, out)
 
 
 @query("cap_edges", f"WITH {EDGES} SELECT eid, src, dst FROM edges WHERE eid < 500")
@@ -52,11 +73,19 @@ def cap_edges(t) -> DataFrame:
     return cap_rows(event_edges(t("events")), 500, "eid").select("eid", "src", "dst")
 
 
-@query("load_graph", f"WITH {EDGES} SELECT 'events' AS graph, count(*) AS edges, CAST((SELECT count(*) FROM (SELECT src FROM edges UNION SELECT dst FROM edges)) AS BIGINT) AS nodes FROM edges")
-def load_graph(t) -> DataFrame:
-    e = event_edges(t("events"))
-    nodes = e.select(F.explode(F.array("src", "dst")).alias("v")).distinct().agg(F.count("*").alias("nodes"))
-    return e.agg(F.lit("events").alias("graph"), F.count("*").alias("edges")).join(nodes)
+@query("load_graph", f"WITH {EDGES} SELECT graph, count(*) AS edges, CAST((SELECT count(*) FROM (SELECT src FROM edges UNION SELECT dst FROM edges)) AS BIGINT) AS nodes FROM edges, (VALUES ('facebook'), ('lastfm'), ('wiki')) AS g(graph) GROUP BY 1")
+def load_graphs(t) -> DataFrame:
+    """The registered graphs by name, from files of their form that hold the event edges."""
+    from functools import reduce
+
+    edges = stored(event_edges(t("events")), "edges")
+    folder, out = new_place(edges.sparkSession, "graphs"), []
+    for name, (file, form) in sorted(GRAPHS.items()):
+        write_edges(edges, f"{folder}/{file}", form)
+        e = load_graph(edges.sparkSession, folder, name)
+        nodes = e.select(F.explode(F.array("src", "dst")).alias("v")).distinct().agg(F.count("*").alias("nodes"))
+        out.append(e.agg(F.lit(name).alias("graph"), F.count("*").alias("edges")).join(nodes))
+    return reduce(DataFrame.unionByName, out)
 
 
 @query("row_count", " UNION ALL ".join(f"SELECT '{n}' AS relation, count(*) AS n FROM {n}" for n in _COLUMNS))
@@ -99,11 +128,12 @@ def filter_le(t) -> DataFrame:
     return t("lineitem").where(F.col("l_quantity") + F.col("l_linenumber") <= 10).select("l_orderkey", "l_linenumber")
 
 
-@query("compare_vector", "SELECT l_orderkey, l_linenumber, l_discount < l_tax AS lt, l_discount <= l_tax AS le FROM lineitem")
+@query("compare_vector", "SELECT l_orderkey, l_linenumber, " + ", ".join(f"{a} {op} {b} AS {n}{k}" for k, (a, b) in enumerate((("l_discount", "l_tax"), ("l_linenumber", "l_quantity / 8"), ("l_extendedprice", "30000"))) for n, op in (("lt", "<"), ("le", "<="))) + " FROM lineitem")
 def compare_vector(t) -> DataFrame:
-    a, b = F.array("l_discount"), F.array("l_tax")
-    pick = lambda f: F.zip_with(a, b, f)[0]
-    return t("lineitem").select("l_orderkey", "l_linenumber", pick(lambda x, y: x < y).alias("lt"), pick(lambda x, y: x <= y).alias("le"))
+    """Two vectors of three, element by element."""
+    a, b = F.array("l_discount", F.col("l_linenumber").cast("double"), "l_extendedprice"), F.array(F.col("l_tax"), F.col("l_quantity") / 8, F.lit(30000.0))
+    less = t("lineitem").select("l_orderkey", "l_linenumber", F.zip_with(a, b, lambda x, y: x < y).alias("lt"), F.zip_with(a, b, lambda x, y: x <= y).alias("le"))
+    return less.select("l_orderkey", "l_linenumber", *(F.col(n)[k].alias(f"{n}{k}") for k in range(3) for n in ("lt", "le")))
 
 
 @query("eq_vector", "SELECT l_orderkey, l_linenumber, l_discount = 0 AND l_tax = 0 AS zero FROM lineitem")
@@ -129,16 +159,21 @@ def and_bits(t) -> DataFrame:
     return t("orders").select("o_orderkey", ((F.col("o_totalprice") > 100000) & (F.col("o_orderstatus") == "F")).alias("keep"))
 
 
-@query("selector_implies_predicate", "SELECT CAST(0 AS BIGINT) AS violations")
+@query("selector_implies_predicate", "SELECT 'forged' AS kind, count(CASE WHEN c_custkey % 7 = 0 AND c_mktsegment <> 'HOUSEHOLD' THEN 1 END) AS violations FROM customer UNION ALL SELECT 'honest', 0")
 def selector_implies(t) -> DataFrame:
-    """Rows that were selected without meeting the predicate."""
-    c = t("customer").withColumn("b", F.col("c_mktsegment") == "HOUSEHOLD")
-    return c.where(F.col("b")).where(~F.col("b")).agg(F.count("*").alias("violations"))
+    """Selected customers that fail the predicate: of those in rows of q3's join, and of a selection that has every seventh customer besides."""
+    from .certify import reduced_tables
+
+    kept = reduced_tables(t, "q3")("customer").select("c_custkey")
+    every = t("customer").where("c_custkey % 7 = 0").select("c_custkey")
+    bad = F.count(F.when(~(F.col("c_mktsegment") == "HOUSEHOLD"), 1)).alias("violations")
+    told = lambda kind, chosen: t("customer").join(chosen, "c_custkey", "left_semi").agg(F.lit(kind).alias("kind"), bad)
+    return told("honest", kept).unionByName(told("forged", kept.unionByName(every)))
 
 
-@query("param_constant", "SELECT l_orderkey, l_linenumber, 300 AS threshold FROM lineitem WHERE l_orderkey < 100")
+@query("param_constant", "SELECT l_orderkey, l_linenumber, 300 AS threshold FROM lineitem")
 def param_constant(t) -> DataFrame:
-    return t("lineitem").where("l_orderkey < 100").select("l_orderkey", "l_linenumber", F.lit(300).alias("threshold"))
+    return t("lineitem").select("l_orderkey", "l_linenumber", F.lit(300).alias("threshold"))
 
 
 @query("range_check", "SELECT count(*) AS n, sum(CASE WHEN l_partkey BETWEEN 0 AND 65535 THEN 0 ELSE 1 END)::BIGINT AS outside FROM lineitem")
@@ -186,7 +221,7 @@ def join_nation_roles(t) -> DataFrame:
 
 @query("self_join_edge", f"WITH {EDGES} SELECT CAST(sum(a.n * b.n) AS BIGINT) AS n FROM m a JOIN m b ON a.dst = b.src")
 def self_join_edge(t) -> DataFrame:
-    m = multiplicity(event_edges(t("events")))
+    m = counted(event_edges(t("events")))
     ends = m.groupBy(F.col("dst").alias("v")).agg(F.sum("n").alias("i"))
     starts = m.groupBy(F.col("src").alias("v")).agg(F.sum("n").alias("o"))
     return ends.join(starts, "v").agg(F.sum((F.col("i") * F.col("o")).cast("decimal(38,0)")).cast("bigint").alias("n"))
@@ -204,10 +239,10 @@ SELECT k.key, COALESCE(v, 0) AS v, (SELECT max(h.key) FROM h WHERE h.key < k.key
 def map_lookup_gap(t) -> DataFrame:
     """A key's value, 0 where it has none, and the keys with one next to it: both tables in one order, by ranges of keys.
 
-    A range of keys is a window of its own, and its ends come from a table of one row for each range.
+    A range is a window of its own, and its ends come from a table of one row for each range.
     """
     h = t("orders").groupBy(F.col("o_custkey").alias("key")).agg(F.count("*").alias("v"))
-    both = t("customer").select(F.col("c_custkey").alias("key")).distinct().withColumn("asked", F.lit(True)).join(h, "key", "full").withColumn("part", F.floor(F.col("key") / 4096))
+    both = in_ranges(t("customer").select(F.col("c_custkey").alias("key")).distinct().withColumn("asked", F.lit(True)).join(h, "key", "full"), "key")
     w = Window.partitionBy("part").orderBy("key")
     held = F.when(F.col("v").isNotNull(), F.col("key"))
     both = both.select("key", "asked", "v", "part", F.last(held, True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("low"), F.first(held, True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("high"))
@@ -219,19 +254,19 @@ def map_lookup_gap(t) -> DataFrame:
 
 @query("wedge", f"WITH {EDGES} SELECT x.src AS a, x.dst AS b, y.dst AS c, CAST(x.n * y.n AS BIGINT) AS n FROM m x JOIN m y ON x.dst = y.src WHERE x.src < x.dst")
 def wedge(t) -> DataFrame:
-    return wedges(event_edges(t("events"))).withColumn("n", F.col("n").cast("bigint"))
+    return wedges(counted(event_edges(t("events")))).withColumn("n", F.col("n").cast("bigint"))
 
 
 @query("triangle_close", f"WITH {EDGES} SELECT x.src AS a, y.dst AS c, CAST(sum(x.n * y.n * z.n) AS BIGINT) AS n FROM m x JOIN m y ON x.dst = y.src JOIN m z ON y.dst = z.src AND z.dst = x.src WHERE x.src < x.dst AND y.src < y.dst GROUP BY ALL")
 def triangle_close(t) -> DataFrame:
-    e = event_edges(t("events"))
-    m = multiplicity(e).select(F.col("src").alias("c"), F.col("dst").alias("a"), F.col("n").alias("w"))
-    return wedges(e).where("b < c").join(m, ["a", "c"]).groupBy("a", "c").agg(F.sum((F.col("n") * F.col("w")).cast("decimal(38,0)")).cast("bigint").alias("n"))
+    m = counted(event_edges(t("events")))
+    back = m.select(F.col("src").alias("c"), F.col("dst").alias("a"), F.col("n").alias("w"))
+    return wedges(m).where("b < c").join(back, ["a", "c"]).groupBy("a", "c").agg(F.sum((F.col("n") * F.col("w")).cast("decimal(38,0)")).cast("bigint").alias("n"))
 
 
 @query("cycle4_close", f"WITH {EDGES}, w AS (SELECT x.src a, x.dst b, y.dst c, x.n * y.n n FROM m x JOIN m y ON x.dst = y.src WHERE x.src < x.dst) SELECT p.a, p.c, CAST(p.n * q.n AS BIGINT) AS n FROM (SELECT a, c, sum(n) n FROM w WHERE b < c GROUP BY ALL) p JOIN (SELECT a, c, sum(n) n FROM w GROUP BY ALL) q ON p.a = q.c AND p.c = q.a")
 def cycle4_close(t) -> DataFrame:
-    w = wedges(event_edges(t("events")))
+    w = wedges(counted(event_edges(t("events"))))
     one = w.where("b < c").groupBy("a", "c").agg(F.sum("n").alias("n1"))
     two = w.where("c < a").groupBy(F.col("a").alias("c"), F.col("c").alias("a")).agg(F.sum("n").alias("n2"))
     return one.join(two, ["a", "c"]).select("a", "c", (F.col("n1").cast("decimal(19,0)") * F.col("n2").cast("decimal(19,0)")).cast("bigint").alias("n"))
@@ -243,14 +278,17 @@ def semijoin_reduce(t) -> DataFrame:
     return t("customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("antijoin_residual", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("antijoin_residual", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '1998-01-01')")
 def antijoin_residual(t) -> DataFrame:
-    return t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Customers without an order in the year of q5."""
+    d = F.col("o_orderdate")
+    o = t("orders").where((d >= moment(START5)) & (d < moment(END5))).select("o_custkey")
+    return t("customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("path_message_passing", f"WITH {EDGES}, o AS (SELECT src, sum(n) n FROM m GROUP BY 1) SELECT m.src, CAST(sum(m.n * o.n) AS BIGINT) AS n FROM m JOIN o ON m.dst = o.src WHERE m.src < m.dst GROUP BY 1")
 def path_message_passing(t) -> DataFrame:
-    m = multiplicity(event_edges(t("events")))
+    m = counted(event_edges(t("events")))
     out = m.groupBy(F.col("src").alias("dst")).agg(F.sum("n").alias("w"))
     return m.where("src < dst").join(out, "dst").groupBy("src").agg(F.sum((F.col("n") * F.col("w")).cast("decimal(38,0)")).cast("bigint").alias("n"))
 
@@ -293,7 +331,7 @@ def agg_join_count(t) -> DataFrame:
 @query("agg_sum_by_key", "SELECT key, total, lead(key) OVER (ORDER BY key) AS key_next FROM (SELECT l_suppkey AS key, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total FROM lineitem GROUP BY 1)")
 def agg_sum_by_key(t) -> DataFrame:
     """Sums by key and the key that comes next, by ranges of keys."""
-    g = t("lineitem").groupBy(F.col("l_suppkey").alias("key")).agg(F.sum(F.col("l_quantity").cast("bigint")).alias("total")).withColumn("part", F.floor(F.col("key") / 4096))
+    g = in_ranges(t("lineitem").groupBy(F.col("l_suppkey").alias("key")).agg(F.sum(F.col("l_quantity").cast("bigint")).alias("total")), "key")
     g = g.withColumn("own", F.lead("key").over(Window.partitionBy("part").orderBy("key")))
     ends = g.groupBy("part").agg(F.min("key").alias("first")).select("part", F.lead("first").over(Window.orderBy("part")).alias("after"))
     return g.join(ends, "part").select("key", "total", F.coalesce("own", "after").alias("key_next"))
@@ -361,6 +399,28 @@ def rep_stats(t) -> DataFrame:
     return t("events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"), F.round(F.median("value"), 6).alias("middle"))
 
 
+def paired(runs: DataFrame, rep: str = "rep", base: str = "base", bound: str = "bound") -> DataFrame:
+    """(value, floor, lo, hi) of the differences bound - base over repetitions, of which even ones took the base first and odd ones the other.
+
+    The value is the mean of both orders' means, and the floor the larger of half their gap and half the spread; with one order only
+    the value is the median, and there is no floor.
+    """
+    d = F.col(bound) - F.col(base)
+    even = F.pmod(F.col(rep), F.lit(2)) == 0
+    g = runs.agg(F.avg(F.when(even, d)).alias("a"), F.avg(F.when(~even, d)).alias("b"), F.median(d).alias("m"), F.min(d).alias("lo"), F.max(d).alias("hi"))
+    both = F.col("a").isNotNull() & F.col("b").isNotNull()
+    value = F.when(both, (F.col("a") + F.col("b")) / 2).otherwise(F.col("m"))
+    floor = F.when(both, F.greatest(F.abs(F.col("a") - F.col("b")) / 2, (F.col("hi") - F.col("lo")) / 2))
+    return g.select(F.round(value, 6).alias("value"), F.round(floor, 6).alias("floor"), F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+
+
+@query("paired_estimate", "WITH r AS (SELECT l_orderkey % 8 AS rep, CAST(sum(CASE WHEN l_linestatus = 'O' THEN l_quantity ELSE 0 END) - sum(CASE WHEN l_linestatus = 'F' THEN l_quantity ELSE 0 END) AS DOUBLE) AS d FROM lineitem GROUP BY 1), g AS (SELECT avg(CASE WHEN rep % 2 = 0 THEN d END) AS a, avg(CASE WHEN rep % 2 = 1 THEN d END) AS b, min(d) AS lo, max(d) AS hi FROM r) SELECT round((a + b) / 2, 6) AS value, round(greatest(abs(a - b) / 2, (hi - lo) / 2), 6) AS floor, round(lo, 6) AS lo, round(hi, 6) AS hi FROM g")
+def paired_estimate(t) -> DataFrame:
+    """The estimate over eight repetitions, which are made of lineitem: quantities of open against filled lines."""
+    q = lambda s: F.sum(F.when(F.col("l_linestatus") == s, F.col("l_quantity")).otherwise(0.0))
+    return paired(t("lineitem").groupBy((F.col("l_orderkey") % 8).alias("rep")).agg(q("F").alias("base"), q("O").alias("bound")))
+
+
 _LINE = "l_shipdate, l_partkey, l_suppkey, l_extendedprice, l_discount, l_tax, l_quantity"
 
 
@@ -385,10 +445,7 @@ def group_index(t) -> DataFrame:
 @query("row_index", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS idx FROM orders")
 def row_index(t) -> DataFrame:
     """A global index by key: an index within ranges of keys, after the sizes of the ranges before."""
-    o = t("orders").select("o_orderkey", F.floor(F.col("o_orderkey") / 65536).alias("part"))
-    sizes = o.groupBy("part").agg(F.count("*").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    own = F.row_number().over(Window.partitionBy("part").orderBy("o_orderkey")) - 1
-    return o.withColumn("own", own).join(sizes, "part").select("o_orderkey", (F.col("own") + F.col("before")).alias("idx"))
+    return placed(t("orders").select("o_orderkey"), "o_orderkey").select("o_orderkey", (F.col("place") - 1).alias("idx"))
 
 
 @query("compact_pad_last", "SELECT c_custkey, c_mktsegment <> 'HOUSEHOLD' AS is_pad FROM customer ORDER BY is_pad, c_custkey")
@@ -396,23 +453,44 @@ def compact_pad_last(t) -> DataFrame:
     return t("customer").select("c_custkey", (F.col("c_mktsegment") != "HOUSEHOLD").alias("is_pad")).orderBy("is_pad", "c_custkey")
 
 
-for _k in (3, 5, 8, 9, 18):
-    from ..plans.registry import ORACLES as _O
-    from . import tpch as _T
+_CODE = "CAST(COALESCE(list_sum(list_transform(range(1, length({0}) + 1), lambda i: i * unicode({0}[i]))), 0) AS BIGINT)"
+#: A query's order, in Spark and in SQL. Nations of q9 go by their numeric code, not by their letters.
+_ORDERS = {
+    "q3": (lambda: (F.desc("revenue"), F.asc("o_orderdate"), F.asc("l_orderkey")), "revenue DESC, o_orderdate, l_orderkey"),
+    "q5": (lambda: (F.desc("revenue"), F.asc("n_name")), "revenue DESC, n_name"),
+    "q8": (lambda: (F.asc("o_year"),), "o_year"),
+    "q9": (lambda: (E.string_code(F.col("n_name")).asc(), F.desc("o_year"), F.asc("n_name")), f"{_CODE.format('n_name')}, o_year DESC, n_name"),
+    "q18": (lambda: (F.desc("o_totalprice"), F.asc("o_orderdate"), F.asc("o_orderkey")), "o_totalprice DESC, o_orderdate, o_orderkey"),
+}
+for _q, (_by, _sql) in _ORDERS.items():
 
-    query(f"order_q{_k}", _O[f"q{_k}"])(getattr(_T, f"q{_k}"))
+    @query(f"order_{_q}", f"SELECT *, row_number() OVER (ORDER BY {_sql}) AS place FROM ({ORACLES[_q]})")
+    def ordered(t, q: str = _q, by=_by) -> DataFrame:
+        """A query's rows with their place in its order."""
+        from . import tpch
 
+        return placed(getattr(tpch, q)(t), *by())
 
-@query("check_sorted", "SELECT CAST(0 AS BIGINT) AS inversions")
-def check_sorted(t) -> DataFrame:
-    """Neighbours out of order in the sorted orders, within ranges and between them."""
-    o = t("orders").select("o_orderkey", F.floor(F.col("o_orderkey") / 65536).alias("part"))
-    inside = o.withColumn("p", F.lag("o_orderkey").over(Window.partitionBy("part").orderBy("o_orderkey"))).agg(F.count(F.when(F.col("p") > F.col("o_orderkey"), 1)).alias("a"))
-    ends = o.groupBy("part").agg(F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"))
+
+def inversions(df: DataFrame, value: str, *order: str) -> DataFrame:
+    """(inversions): neighbours in the order whose values fall."""
+    r = in_ranges(df.select(value, *(c for c in order if c != value)), *order)
+    w = Window.partitionBy("part").orderBy(*order)
+    inside = r.withColumn("p", F.lag(value).over(w)).agg(F.count(F.when(F.col("p") > F.col(value), 1)).alias("a"))
+    key = F.struct(*order)
+    ends = r.groupBy("part").agg(F.min_by(value, key).alias("lo"), F.max_by(value, key).alias("hi"))
     between = ends.withColumn("p", F.lag("hi").over(Window.orderBy("part"))).agg(F.count(F.when(F.col("p") > F.col("lo"), 1)).alias("b"))
     return inside.join(between).select((F.col("a") + F.col("b")).alias("inversions"))
 
 
+@query("check_sorted", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(CASE WHEN p > {c} THEN 1 END) AS inversions FROM (SELECT {c}, lag({c}) OVER (ORDER BY o_orderkey) AS p FROM orders)" for c in ("o_orderkey", "o_orderdate", "o_totalprice")))
+def check_sorted(t) -> DataFrame:
+    """Neighbours out of order, in the order of the key: none of the key itself, many of other columns."""
+    from functools import reduce
+
+    return reduce(DataFrame.unionByName, [inversions(t("orders"), c, "o_orderkey").select(F.lit(c).alias("column"), "inversions") for c in ("o_orderkey", "o_orderdate", "o_totalprice")])
+
+
 @query("bag_union_partition", "SELECT count(*) AS n, CAST(0 AS BIGINT) AS differing FROM customer")
 def bag_union_partition(t) -> DataFrame:
     c = t("customer").select("c_custkey", "c_mktsegment")
@@ -444,10 +522,14 @@ def row_membership(t) -> DataFrame:
     return t("nation").join(t("supplier").select(F.col("s_nationkey").alias("n_nationkey")), "n_nationkey", "left_semi").select("n_nationkey", "n_name")
 
 
-@query("disjoint", "SELECT count(*) AS common FROM (SELECT c_custkey FROM customer WHERE c_mktsegment = 'HOUSEHOLD' INTERSECT SELECT c_custkey FROM customer WHERE c_mktsegment <> 'HOUSEHOLD')")
+@query("disjoint", "SELECT 'lines and returns' AS pair, count(*) AS common FROM (SELECT l_partkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-01-01' INTERSECT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R') UNION ALL SELECT 'nations and regions', count(*) FROM (SELECT n_name FROM nation INTERSECT SELECT r_name FROM region)")
 def disjoint(t) -> DataFrame:
-    c = t("customer")
-    return c.where("c_mktsegment = 'HOUSEHOLD'").select("c_custkey").intersect(c.where("c_mktsegment <> 'HOUSEHOLD'").select("c_custkey")).agg(F.count("*").alias("common"))
+    """What two sets have in common: parts shipped early and returned ones, names of nations and of regions."""
+    line = t("lineitem")
+    parts = line.where(F.col("l_shipdate") < moment(dt.datetime(1996, 1, 1))).select("l_partkey").intersect(line.where("l_returnflag = 'R'").select("l_partkey"))
+    names = t("nation").select("n_name").intersect(t("region").select("r_name"))
+    told = lambda pair, df: df.agg(F.lit(pair).alias("pair"), F.count("*").alias("common"))
+    return told("lines and returns", parts).unionByName(told("nations and regions", names))
 
 
 @query("edge_encodings", f"WITH {EDGES} SELECT src, dst, src + 1 AS src1, dst + 1 AS dst1 FROM edges")
@@ -455,9 +537,6 @@ def edge_encodings(t) -> DataFrame:
     return event_edges(t("events")).select("src", "dst", E.shift_id(F.col("src")).alias("src1"), E.shift_id(F.col("dst")).alias("dst1"))
 
 
-_CODE = "CAST(COALESCE(list_sum(list_transform(range(1, length({0}) + 1), lambda i: i * unicode({0}[i]))), 0) AS BIGINT)"
-
-
 @query("string_to_u64", f"SELECT p_partkey, {_CODE.format('p_name')} AS code FROM part")
 def string_to_u64(t) -> DataFrame:
     return t("part").select("p_partkey", E.string_code(F.col("p_name")).alias("code"))
@@ -515,16 +594,30 @@ def degree_math(t) -> DataFrame:
     return t("lineitem").agg(F.lit("lineitem").alias("relation"), F.char_length(F.bin(n - 1)).cast("bigint").alias("k"))
 
 
-@query("hash_rows", "SELECT n_nationkey, sha256(concat_ws('|', n_nationkey, n_name, n_regionkey)) AS h FROM nation")
+_ROW = ("n_nationkey", "n_name", "n_regionkey")
+
+
+@query("hash_rows", "SELECT kind, n_nationkey, sha256(" + " || ".join(E.cell_sql(c) for c in _ROW) + ") AS h FROM (SELECT 'row' AS kind, n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT 'null', n_nationkey, NULL, n_regionkey FROM nation UNION ALL SELECT 'empty', n_nationkey, '', n_regionkey FROM nation)")
 def hash_rows(t) -> DataFrame:
-    return t("nation").select("n_nationkey", F.sha2(F.concat_ws("|", "n_nationkey", "n_name", "n_regionkey"), 256).alias("h"))
+    """A hash of each row from its cells, each with its length, so that neither a separator in a cell nor a null for an empty text gives the same."""
+    n = t("nation").select(*_ROW)
+    rows = n.withColumn("kind", F.lit("row")).unionByName(n.withColumns({"kind": F.lit("null"), "n_name": F.lit(None).cast("string")})).unionByName(n.withColumns({"kind": F.lit("empty"), "n_name": F.lit("")}))
+    return rows.select("kind", "n_nationkey", F.sha2(F.concat(*(E.cell_text(F.col(c)) for c in _ROW)), 256).alias("h"))
 
 
 _FK = [("nation", "n_regionkey", "region", "r_regionkey"), ("supplier", "s_nationkey", "nation", "n_nationkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey")]
 
 
-@query("fk_integrity", " UNION ALL ".join(f"SELECT '{a}.{x}' AS fk, (SELECT count(*) FROM {a} WHERE {x} NOT IN (SELECT {y} FROM {b})) AS dangling" for a, x, b, y in _FK))
+@query("fk_integrity", " UNION ALL ".join(f"SELECT '{a}.{x}' AS fk, (SELECT count(*) FROM {a} WHERE {x} NOT IN (SELECT {y} FROM {b})) AS dangling" for a, x, b, y in _FK)
+    + " UNION ALL SELECT 'partsupp.ps_partkey', count(*) FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem JOIN part ON l_partkey = p_partkey) WHERE l_partkey NOT IN (SELECT p_partkey FROM part)"
+    " UNION ALL SELECT 'partsupp.ps_suppkey', count(*) FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem JOIN part ON l_partkey = p_partkey) WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier)"
+    " UNION ALL SELECT 'lineitem.l_partkey, l_suppkey', count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part)")
 def fk_integrity(t) -> DataFrame:
     from functools import reduce
 
-    return reduce(DataFrame.unionByName, [t(a).join(t(b), F.col(x) == F.col(y), "left_anti").agg(F.lit(f"{a}.{x}").alias("fk"), F.count("*").alias("dangling")) for a, x, b, y in _FK])
+    out = [t(a).join(t(b), F.col(x) == F.col(y), "left_anti").agg(F.lit(f"{a}.{x}").alias("fk"), F.count("*").alias("dangling")) for a, x, b, y in _FK]
+    ps, none = stored(scan_partsupp(t), "partsupp"), F.count("*").alias("dangling")
+    out.append(ps.join(t("part"), F.col("ps_partkey") == F.col("p_partkey"), "left_anti").agg(F.lit("partsupp.ps_partkey").alias("fk"), none))
+    out.append(ps.join(t("supplier"), F.col("ps_suppkey") == F.col("s_suppkey"), "left_anti").agg(F.lit("partsupp.ps_suppkey").alias("fk"), none))
+    out.append(t("lineitem").join(ps, (F.col("l_partkey") == F.col("ps_partkey")) & (F.col("l_suppkey") == F.col("ps_suppkey")), "left_anti").agg(F.lit("lineitem.l_partkey, l_suppkey").alias("fk"), none))
+    return reduce(DataFrame.unionByName, out)
