@@ -22,6 +22,7 @@ QUANTILE = 0.01
 MARGIN = 0.75
 ENOUGH = 20
 _BLOCK = 1 << 20
+_FEW = 10_000
 _letters = None
 
 _VECTORS = pa.schema([("h", pa.int64()), ("lang", pa.string()), ("at", pa.list_(pa.int32())), ("weight", pa.list_(pa.float32()))])
@@ -177,7 +178,9 @@ def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE, per_language: int
     h = F.xxhash64("doc_id", "text", "lang").alias("h")
     rows = usable.select("lang", h)
     per = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
-    quota = max(1, min(per_language, sample // max(1, per.count())))
+    languages = per.count()
+    quota = max(1, min(per_language, sample // max(1, languages)))
+    per = F.broadcast(per) if languages <= _FEW else per  # so that rows are thinned before they are dealt by language
     order = Window.partitionBy("lang").orderBy("h")
     ids = rows.join(per, "lang").where(thinned(quota, F.col("n"))).select("lang", "h").distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= quota).select("h").limit(sample)
     chosen = usable.select(h, "lang", "text").join(F.broadcast(ids), "h", "left_semi").dropDuplicates(["h"])
