@@ -50,7 +50,7 @@ _FACTS = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_shingles",
 _POSTINGS = pa.schema([("token", pa.int64()), ("node", pa.int64())])
 _CANDIDATES = pa.schema([("token", pa.int64()), ("leader", pa.int64()), ("leader_n", pa.int64()), ("node", pa.int64()), ("n", pa.int64())])
 _MARKS = 1 << 24
-_TEXTS = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("packed", pa.binary())])
+_TEXTS = pa.schema([("row", pa.int64()), ("packed", pa.binary())])
 _LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 _COUNTS = pa.schema([("node", pa.int64()), ("n_links", pa.int64())])
 _AT_ONCE = 1 << 21
@@ -242,15 +242,17 @@ def candidates_of(batches, percent: int):
         yield to_batch(_CANDIDATES, *(x[keep] for x in out))
 
 
-def texts_of(batches, k: int, wanted):
+def texts_of(batches, wanted):
+    """(row, packed text) of the rows whose marks are set, once for each row identity of a task."""
     pack, marks, seen = zstandard.ZstdCompressor(level=1), wanted.value, set()
     for batch in batches:
+        rows = column(batch, "row").to_numpy()
+        hit = np.flatnonzero(marks[rows & (_MARKS - 1)])
         out = []
-        for t in utf8(batch):
-            s = shingle_set(t or b"", k)
-            if len(s) and marks[(node := set_id(s)) & (_MARKS - 1)] and node not in seen:
-                seen.add(node)
-                out.append((node, len(s), pack.compress(t)))
+        for row, t in zip(rows[hit].tolist(), utf8(batch.take(pa.array(hit))), strict=True):
+            if row not in seen:
+                seen.add(row)
+                out.append((row, pack.compress(t or b"")))
         if out:
             yield to_batch(_TEXTS, *zip(*out, strict=True))
 
@@ -338,9 +340,9 @@ def most_used(uses: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     return token[order], got.column("uses").to_numpy()[order]
 
 
-def marked(nodes: DataFrame) -> np.ndarray:
-    """A fixed number of marks by the nodes' low bits, to leave out most other rows early. Its size doesn't depend on the data."""
-    low = nodes.select(F.col("node").bitwiseAND(_MARKS - 1).alias("b"))
+def marked(rows: DataFrame) -> np.ndarray:
+    """A fixed number of marks by the low bits of `row`, to leave out most other rows early. Its size doesn't depend on the data."""
+    low = rows.select(F.col("row").bitwiseAND(_MARKS - 1).alias("b"))
     words = low.groupBy(F.shiftright("b", 5).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 31 as int))")).alias("bits")).toArrow()
     out = np.zeros(_MARKS >> 5, np.uint32)
     out[words.column("w").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
@@ -390,9 +392,11 @@ def _placed(docs: DataFrame, percent: int, k: int, hot_tokens: int, hot_least: i
 
     pairs = stored(candidates.select("leader", "leader_n", "node", "n").distinct(), "pairs")
     wanted = pairs.select("node").unionAll(pairs.select("leader")).distinct()
-    marks = spark.sparkContext.broadcast(marked(wanted))
-    packed = docs.mapInArrow(run("texts_of", k, marks), "node long, n long, packed binary")
-    texts = stored(packed.groupBy("node").agg(F.first("n").alias("n"), F.first("packed").alias("packed")).join(wanted, "node", "left_semi"), "texts")
+    # One row's text stands for all of the same set, so copies are neither packed nor dealt.
+    bearers = stored(own.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"), F.min("n_shingles").alias("n")), "bearers")
+    marks = spark.sparkContext.broadcast(marked(bearers))
+    packed = with_row(docs).select("row", "text").mapInArrow(run("texts_of", marks), "row long, packed binary")
+    texts = stored(packed.groupBy("row").agg(F.first("packed").alias("packed")).join(bearers, "row").select("node", "n", "packed"), "texts")
     leader = F.col("leader")
     from_leaders = _searched(
         pairs.select(leader.alias("block"), leader.alias("node"), F.col("leader_n").alias("n"), leader.alias("comp")).distinct(),
@@ -417,7 +421,7 @@ def _placed(docs: DataFrame, percent: int, k: int, hot_tokens: int, hot_least: i
         each = roots.join(stored(_counted(roots, texts, percent, k, block), "counts"), "node", "left")
     else:
         each = roots.withColumn("n_links", F.lit(None).cast("long"))
-    discard(uses, shared, candidates, pairs, texts, first, old, members, rest)
+    discard(uses, shared, candidates, pairs, bearers, texts, first, old, members, rest)
     hot.destroy()
     marks.destroy()
     return own.join(each, "node", "left").select("doc_id", "row", "n_shingles", "node", F.coalesce("root", "node").alias("root"), "n_links")
