@@ -13,7 +13,7 @@ from functools import reduce as fold
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.store import stored
+from ..sources.store import keys_to_join, stored
 
 
 @dataclass
@@ -50,7 +50,7 @@ def keys_of(df: DataFrame, names: list[str]) -> DataFrame:
 def _met(df: DataFrame, names: list[str], keys: DataFrame) -> DataFrame:
     """df, whose rows are no longer clean where their key is not among the keys."""
     on = fold(lambda a, b: a & b, [F.col(n) == F.col(f"k{i}") for i, n in enumerate(names)])
-    return df.join(keys.withColumn("__met", F.lit(True)), on, "left").withColumn("clean", F.col("clean") & F.coalesce("__met", F.lit(False))).drop("__met", *keys.columns)
+    return df.join(keys_to_join(keys).withColumn("__met", F.lit(True)), on, "left").withColumn("clean", F.col("clean") & F.coalesce("__met", F.lit(False))).drop("__met", *keys.columns)
 
 
 def chosen(n: Node) -> DataFrame:
