@@ -5,7 +5,8 @@ another character to U+2581, so no merge crosses there. A unit's adjacent pairs
 first of equal ones; the best is merged, its new pairs with both neighbours go on the agenda, and entries whose symbols have changed
 since are passed over. What is no piece in the end is spelt in bytes. So n characters take about n log n steps, however long a unit is.
 
-Units recur: each worker keeps those that it knows, with ids and decoded text, up to `_KNOWN_BYTES`. All new units of an Arrow batch are
+Units recur: each worker keeps those that it knows, with ids and decoded text, in two generations of up to `_KNOWN_BYTES`: when the younger
+is full, the older goes, and what was used since is in the younger. All new units of an Arrow batch are
 checked against the sentencepiece library in one call, ids and decoded text; a difference is an error. Long units are not kept.
 """
 
@@ -27,6 +28,9 @@ SPACE = "▁"
 _UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _KNOWN_BYTES = 128 << 20
 _LONG = 256
+#: An agenda's entry is one number: a rank, and in so many low bits a place.
+_PLACE = 32
+_PLACES = (1 << _PLACE) - 1
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 _codecs: dict[str, Codec] = {}
 
@@ -86,46 +90,57 @@ class Codec:
         for t in self.ids:
             for c in t:
                 self.symbol.setdefault(c, n + len(self.symbol) - len(self.ids))
-        self.character = {i: c for c, i in self.symbol.items() if i >= n}
-        #: (rank, joined piece) by both symbols; equal scores have equal ranks, so that the leftmost of them goes first.
-        rank = {v: k for k, v in enumerate(sorted(set(score), reverse=True))}
-        self.pairs = {self.symbol[t[:k]] << 32 | self.symbol[t[k:]]: (rank[score[i]], i) for t, i in self.ids.items() for k in range(1, len(t)) if t[:k] in self.symbol and t[k:] in self.symbol}
+        #: The joined piece by both symbols, in keys whose low bits are of both, as a dictionary goes by these. `none` is in no pair.
+        self.none = n + len(self.symbol) - len(self.ids)
+        self.width = self.none + 1 | 1
+        self.pairs = {self.symbol[t[:k]] * self.width + self.symbol[t[k:]]: i for t, i in self.ids.items() for k in range(1, len(t)) if t[:k] in self.symbol and t[k:] in self.symbol}
+        #: By piece; equal scores have equal ranks, so that the leftmost of them goes first.
+        rank = {v: k for k, v in enumerate(sorted(set(score), reverse=True), 1)}
+        self.rank = [rank[v] << _PLACE for v in score]
+        self.rank[0] = 0  # stands for no pair
+        if 0 in self.ids.values():
+            raise ValueError(f"{path}: its first piece is a normal one")
         self.known: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
         self.kept = 0
 
     def merge(self, unit: str) -> list[int]:
         """The ids of a unit, by the agenda."""
-        symbol, pairs = self.symbol, self.pairs
-        s = [symbol.get(c, -2 - ord(c)) for c in unit]
+        get, rank, width, none = self.pairs.get, self.rank, self.width, self.none
+        s = [self.symbol.get(c, none) for c in unit]
         n = len(s)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda = []
-        for k in range(n - 1):
-            a, b = s[k], s[k + 1]
-            if a >= 0 <= b and (found := pairs.get(a << 32 | b)):
-                agenda.append((found[0], k, a, b, found[1]))
+        now = [get(a * width + b, 0) for a, b in zip(s, s[1:])]  # what the pair that starts at each place joins to
+        agenda = [rank[i] + k for k, i in enumerate(now) if i]
+        now.append(0)
         heapify(agenda)
         while agenda:
-            _, k, a, b, joined = heappop(agenda)
-            m = after[k]
-            if s[k] != a or m >= n or s[m] != b:
+            entry = heappop(agenda)
+            k = entry & _PLACES
+            joined = now[k]
+            if rank[joined] + k != entry:
                 continue
-            s[k], s[m] = joined, -1
+            m = after[k]
+            s[k], now[m] = joined, 0
             m = after[k] = after[m]
             if m < n:
                 before[m] = k
-                if s[m] >= 0 and (found := pairs.get(joined << 32 | s[m])):
-                    heappush(agenda, (found[0], k, joined, s[m], found[1]))
+                now[k] = i = get(joined * width + s[m], 0)
+                if i:
+                    heappush(agenda, rank[i] + k)
+            else:
+                now[k] = 0
             m = before[k]
-            if m >= 0 <= s[m] and (found := pairs.get(s[m] << 32 | joined)):
-                heappush(agenda, (found[0], m, s[m], joined, found[1]))
+            if m >= 0:
+                now[m] = i = get(s[m] * width + joined, 0)
+                if i:
+                    heappush(agenda, rank[i] + m)
         pieces, out, k = len(self.text), [], 0
         while k < n:
-            i = s[k]
-            if 0 <= i < pieces:
-                out.append(i)
+            if s[k] < pieces:
+                out.append(s[k])
             else:
-                out += [self.byte[b] for b in (self.character[i] if i >= 0 else chr(-2 - i)).encode()]
+                out += [self.byte[b] for b in unit[k].encode()]
             k = after[k]
         return out
 
@@ -144,9 +159,11 @@ class Codec:
         """(ids as little-endian unsigned 32-bit integers, decoded text) of whole texts."""
         cut = [_UNIT.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         if self.kept > _KNOWN_BYTES:
-            self.known, self.kept = {}, 0
+            self.older, self.known, self.kept = self.known, {}, 0
         new = {u for units in cut for u in units} - self.known.keys()
-        new = self.learn(sorted(new)) if new else {}
+        again = {u: self.older[u] for u in new if u in self.older}
+        new -= again.keys()
+        new = (self.learn(sorted(new)) if new else {}) | again
         known = self.known
         known.update(new)
         first, last = (struct.pack("<I", i) if on else b"" for i, on in ((self.bos, begin), (self.eos, end)))
