@@ -1,6 +1,6 @@
 """Join trees: full reduction by semijoins, and the four checks of a join's evidence.
 
-A node is a relation with a row id and a predicate; an edge is a list of column pairs of parent and child. All checks are plans of one
+A node is a relation with a row id, a predicate and, where a row stands for several equal ones, their number; an edge is a list of column pairs of parent and child. All checks are plans of one
 row each, and no relation is collected. Reduction goes from the leaves to the root and back and flags rows: one is clean if it extends to a
 row of the join.
 """
@@ -22,6 +22,10 @@ class Node:
     rows: DataFrame  # with the column rid
     predicate: Column | None = None
     children: list[tuple[Node, list[tuple[str, str]]]] = field(default_factory=list)
+    weight: str | None = None  # a bigint column: how many equal rows of the relation a row stands for; else 1
+
+    def number(self) -> Column:
+        return F.lit(1).cast("bigint") if self.weight is None else F.col(self.weight)
 
     def child(self, node: Node, *pairs: tuple[str, str]) -> Node:
         self.children.append((node, list(pairs)))
@@ -86,20 +90,24 @@ def reduce_tree(root: Node) -> dict[str, DataFrame]:
     return state
 
 
+def _sum(c: Column) -> Column:
+    return F.coalesce(F.sum(c), F.lit(0).cast("bigint"))
+
+
 def sizes(root: Node, state: dict[str, DataFrame]) -> DataFrame:
     """(relation, n_rows, n_clean)."""
-    count = F.coalesce(F.sum(F.col("clean").cast("bigint")), F.lit(0).cast("bigint"))
-    return fold(DataFrame.unionByName, [state[n.name].agg(F.lit(n.name).alias("relation"), F.count("*").alias("n_rows"), count.alias("n_clean")) for n in root.walk()])
+    return fold(DataFrame.unionByName, [state[n.name].agg(F.lit(n.name).alias("relation"), _sum(n.number()).alias("n_rows"), _sum(F.when(F.col("clean"), n.number())).alias("n_clean")) for n in root.walk()])
 
 
 def conservation(root: Node, state: dict[str, DataFrame]) -> DataFrame:
-    """(relation, n_rows, n_clean, n_residual, ok): clean and residual rows are the relation's rows, each once."""
+    """(relation, n_rows, n_clean, n_residual, ok): clean and residual rows are the relation's rows, each once and with its number."""
     out = []
-    sign = F.coalesce(F.sum(F.xxhash64("rid").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
     for n in root.walk():
-        base = n.rows.agg(F.count("*").alias("n_rows"), sign.alias("base"))
-        each = state[n.name].groupBy("rid").agg(F.count("*").alias("m"), F.sum(F.col("clean").cast("bigint")).alias("c"))
-        found = each.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("n"), F.coalesce(F.sum("c"), F.lit(0)).alias("n_clean"), F.coalesce(F.max("m"), F.lit(1)).alias("most"), sign.alias("own"))
+        sign = lambda *c: F.coalesce(F.sum(F.xxhash64(*c).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
+        number = [] if n.weight is None else ["k"]
+        base = n.rows.select("rid", n.number().alias("k")).agg(_sum(F.col("k")).alias("n_rows"), sign("rid", *number).alias("base"))
+        each = state[n.name].select("rid", "clean", n.number().alias("k")).groupBy("rid").agg(F.count("*").alias("m"), F.sum("k").alias("k"), _sum(F.when(F.col("clean"), F.col("k"))).alias("c"))
+        found = each.agg(_sum(F.col("k")).alias("n"), _sum(F.col("c")).alias("n_clean"), F.coalesce(F.max("m"), F.lit(1)).alias("most"), sign("rid", *number).alias("own"))
         ok = (F.col("most") == 1) & (F.col("n") == F.col("n_rows")) & (F.col("base") == F.col("own"))
         out.append(base.join(found).select(F.lit(n.name).alias("relation"), "n_rows", "n_clean", (F.col("n_rows") - F.col("n_clean")).alias("n_residual"), ok.alias("ok")))
     return fold(DataFrame.unionByName, out)
@@ -108,7 +116,7 @@ def conservation(root: Node, state: dict[str, DataFrame]) -> DataFrame:
 def selector(root: Node, state: dict[str, DataFrame]) -> DataFrame:
     """(relation, violations): clean rows that fail their predicate."""
     bad = lambda n: F.lit(False) if n.predicate is None else F.col("clean") & ~F.coalesce(n.predicate, F.lit(False))
-    return fold(DataFrame.unionByName, [state[n.name].agg(F.lit(n.name).alias("relation"), F.count(F.when(bad(n), 1)).alias("violations")) for n in root.walk()])
+    return fold(DataFrame.unionByName, [state[n.name].agg(F.lit(n.name).alias("relation"), _sum(F.when(bad(n), n.number())).alias("violations")) for n in root.walk()])
 
 
 def pairwise(root: Node, state: dict[str, DataFrame]) -> DataFrame:
@@ -127,7 +135,7 @@ def _mu(n: Node, state: dict[str, DataFrame]) -> DataFrame:
     """A node's rows with the number of join rows below each, of all rows and of clean rows; absent keys count 0."""
     number = "decimal(38,0)"
     b = F.lit(True) if n.predicate is None else F.coalesce(n.predicate, F.lit(False))
-    df = state[n.name].withColumns({"__all": b.cast("int").cast(number), "__cln": (F.col("clean") & b).cast("int").cast(number)})
+    df = state[n.name].withColumns({"__all": F.when(b, n.number()).otherwise(0).cast(number), "__cln": F.when(F.col("clean") & b, n.number()).otherwise(0).cast(number)})
     for k, (c, pairs) in enumerate(n.children):
         below = _mu(c, state).groupBy(*(F.col(y).alias(f"__k{k}_{i}") for i, (_, y) in enumerate(pairs))).agg(F.sum("__all").cast(number).alias("__a"), F.sum("__cln").cast(number).alias("__d"))
         on = fold(lambda x, y: x & y, [F.col(x) == F.col(f"__k{k}_{i}") for i, (x, _) in enumerate(pairs)])
