@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.encode import fixed
 from ..plans.registry import query
+from ..sources.store import rows_to_join
 
 #: Parameters of the queries, where the tables have the same values as the published ones.
 SEGMENT, SHIP_DATE = "HOUSEHOLD", dt.datetime(1995, 3, 25)
@@ -139,6 +140,6 @@ def q18(t, least: int = QUANTITY) -> DataFrame:
     """Large orders: those of a quantity over `least`, with their customers. All are returned, by total price."""
     large = t("lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_quantity").cast("bigint")).cast("bigint").alias("qty")).where(F.col("qty") > least)
     o = t("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
-    c = t("customer").select("c_custkey", "c_name")
+    c = rows_to_join(t("customer").select("c_custkey", "c_name"))
     joined = o.join(large, F.col("o_orderkey") == F.col("l_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
     return joined.select("c_name", "c_custkey", "o_orderkey", "o_orderdate", "o_totalprice", "qty").orderBy(F.desc("o_totalprice"), "o_orderdate", "o_orderkey")

@@ -55,13 +55,20 @@ def discard(*tables: DataFrame) -> None:
 
 
 def keys_to_join(keys: DataFrame) -> DataFrame:
-    """A stored table of keys, to be joined with: one that lies over Spark's threshold for a broadcast in memory is to be shuffled. Spark goes by
-    the files' size, but keys in order take about a byte a row there: millions of them would be broadcast, and built in the driver's memory."""
+    """A stored table, mostly of keys, to be joined with: one that lies over Spark's threshold for a broadcast in memory is to be shuffled. Spark goes
+    by the files' size, but keys in order take about a byte a row there: millions of them would be broadcast, and built in the driver's memory."""
     java = keys.sparkSession._jsparkSession.sessionState().conf()
     size = keys.count() * (8 + keys._jdf.schema().defaultSize())
     return keys.hint("merge") if size > java.autoBroadcastJoinThreshold() else keys
 
 
+def rows_to_join(df: DataFrame) -> DataFrame:
+    """keys_to_join for any table: rows are only counted where Spark takes it for small enough for a broadcast, as of columns read from files."""
+    java = df.sparkSession._jsparkSession.sessionState().conf()
+    told = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df if told > java.autoBroadcastJoinThreshold() else keys_to_join(df)
+
+
 def in_ranges(df: DataFrame, *order: str | Column) -> DataFrame:
     """df, stored, with `part`: ranges of the order by quantile, numbered in the order. However keys are spread, a part has about as many rows
     as any other; rows that are equal in the order are in one."""
