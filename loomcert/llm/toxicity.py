@@ -11,7 +11,8 @@ are judged again. So words stay that toxic texts share and ordinary ones don't,
 
 The threshold is calibrated on labelled texts that the dictionaries have not seen. A distance's evidence is the logarithm of how much
 more often windows of toxic texts reach it than those of ordinary ones; a text's evidence is summed over its windows and set against
-their number, and a text over the line where its label is as likely 1 as 0 counts as toxic.
+their number, and a text over the line where its label is as likely 1 as 0 counts as toxic. Toxic texts are few, so that line leaves many of
+them: a corpus is cut at a score of its own, `bar`, where the share of toxic texts found and that of ordinary ones left add up to most.
 
 The fit takes a bounded sample of labelled rows (`ordinary` and `toxic` at most, those with the least hash, and of these the first
 `sample_bytes`) and runs in one task of an executor; every text is then scored whole, without a shuffle.
@@ -110,10 +111,11 @@ def saved_on(parts: list[bytes], ordinary: bytes, toxic: bytes) -> np.ndarray:
 
 
 class Model:
-    """ordinary, toxic: contents of the dictionaries; evidence: of each distance; line: weights of the standardised summed evidence and number of windows."""
+    """ordinary, toxic: contents of the dictionaries; evidence: of each distance; line: weights of the standardised summed evidence and number of windows;
+    bar: the score from which on a text leaves a corpus."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes, evidence: np.ndarray, line: np.ndarray):
-        self.ordinary, self.toxic, self.evidence, self.line = ordinary, toxic, evidence, line
+    def __init__(self, ordinary: bytes, toxic: bytes, evidence: np.ndarray, line: np.ndarray, bar: float = 0.5):
+        self.ordinary, self.toxic, self.evidence, self.line, self.bar = ordinary, toxic, evidence, line, bar
 
     def counted(self, data: bytes) -> np.ndarray:
         """How many windows of a text have each distance; the last place is for all larger ones, the first for those under 1."""
@@ -127,7 +129,10 @@ class Model:
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if not texts:
             return np.zeros(0)
-        return 1 / (1 + np.exp(-np.clip(np.c_[_measured(np.array([self.counted(t) for t in texts]), self.evidence), np.ones(len(texts))] @ self.line, -30, 30)))
+        return self.scores_of_counts(np.array([self.counted(t) for t in texts]))
+
+    def scores_of_counts(self, counts: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(np.c_[_measured(counts, self.evidence), np.ones(len(counts))] @ self.line, -30, 30)))
 
 
 def _measured(counts: np.ndarray, evidence: np.ndarray) -> np.ndarray:
@@ -154,6 +159,16 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return np.append(w[:-1] / scale, w[-1] - (w[:-1] * mean / scale).sum())
 
 
+def even_bar(scores: np.ndarray, y: np.ndarray) -> float:
+    """The score, 0.5 at most, from which on the share of label 1 and below which that of label 0 add up to most; of equal ones the greatest. With one label only, 0.5."""
+    toxic, ordinary = np.sort(scores[y == 1]), np.sort(scores[y == 0])
+    if not len(toxic) or not len(ordinary):
+        return 0.5
+    bars = np.unique(np.append(toxic[toxic < 0.5], 0.5))
+    both = np.searchsorted(ordinary, bars) / len(ordinary) - np.searchsorted(toxic, bars) / len(toxic)
+    return float(bars[len(bars) - 1 - np.argmax(both[::-1])])
+
+
 def _dictionary(size: int, samples: list[bytes]) -> bytes:
     """A trained dictionary; the samples themselves where they are too few to train on."""
     try:
@@ -200,10 +215,11 @@ def fit_texts(texts: list[bytes], labels: list[int], held: list[int]) -> Model:
     counts = np.array([model.counted(t) for t, o in zip(texts, on, strict=True) if o])
     model.evidence = evidence_of(counts, y[on])
     model.line = _logistic(_measured(counts, model.evidence), y[on])
+    model.bar = even_bar(model.scores_of_counts(counts), y[on])
     return model
 
 
-_MODEL = pa.schema([("ordinary", pa.binary()), ("toxic", pa.binary()), ("evidence", pa.list_(pa.float64())), ("line", pa.list_(pa.float64()))])
+_MODEL = pa.schema([("ordinary", pa.binary()), ("toxic", pa.binary()), ("evidence", pa.list_(pa.float64())), ("line", pa.list_(pa.float64())), ("bar", pa.float64())])
 
 
 def fitted_of(batches, sample_bytes: int):
@@ -217,7 +233,7 @@ def fitted_of(batches, sample_bytes: int):
                 held.append((h >> 7) & 0xFFFF)
                 size += len(t)
     m = fit_texts(texts, labels, held)
-    yield to_batch(_MODEL, [m.ordinary], [m.toxic], [m.evidence], [m.line])
+    yield to_batch(_MODEL, [m.ordinary], [m.toxic], [m.evidence], [m.line], [m.bar])
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, ordinary: int = ORDINARY, toxic: int = TOXIC, sample_bytes: int = SAMPLE_BYTES) -> Model:
@@ -233,10 +249,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, ordinary: int = ORDIN
     texts = docs.where(learn & F.col("text").isNotNull()).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h"))
     chosen = texts.join(F.broadcast(least[0].union(least[1])), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("h", "toxic", "text")
     one = chosen.repartition(1).sortWithinPartitions("h", "text")
-    got = one.mapInArrow(on_executors("toxicity", "fitted_of", sample_bytes), "ordinary binary, toxic binary, evidence array<double>, line array<double>").first()
+    got = one.mapInArrow(on_executors("toxicity", "fitted_of", sample_bytes), "ordinary binary, toxic binary, evidence array<double>, line array<double>, bar double").first()
     if got is None:
         return fit_texts([], [], [])
-    return Model(bytes(got.ordinary), bytes(got.toxic), np.array(got.evidence), np.array(got.line))
+    return Model(bytes(got.ordinary), bytes(got.toxic), np.array(got.evidence), np.array(got.line), got.bar)
 
 
 def scores_of(batches, model):
@@ -249,7 +265,7 @@ def scores_of(batches, model):
 def accepted_of(batches, model):
     model = model.value
     for batch in batches:
-        yield batch.filter(pa.array(model.scores([t or b"" for t in utf8(batch)]) < 0.5))
+        yield batch.filter(pa.array(model.scores([t or b"" for t in utf8(batch)]) < model.bar))
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
@@ -263,5 +279,5 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_ordinary(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, with all columns, that the model does not take for toxic."""
+    """The rows of docs, with all columns, that stay under the model's bar."""
     return docs.mapInArrow(on_executors("toxicity", "accepted_of", docs.sparkSession.sparkContext.broadcast(model)), docs.schema)
