@@ -132,14 +132,15 @@ def pairwise(root: Node, state: dict[str, DataFrame]) -> DataFrame:
 
 
 def _mu(n: Node, state: dict[str, DataFrame]) -> DataFrame:
-    """A node's rows with the number of join rows below each, of all rows and of clean rows; absent keys count 0."""
+    """A node's rows with the number of join rows below each, of all rows and of clean rows; absent keys count 0. The sums by key are stored, as
+    Spark would broadcast them by the size of the files that they come from."""
     number = "decimal(38,0)"
     b = F.lit(True) if n.predicate is None else F.coalesce(n.predicate, F.lit(False))
     df = state[n.name].withColumns({"__all": F.when(b, n.number()).otherwise(0).cast(number), "__cln": F.when(F.col("clean") & b, n.number()).otherwise(0).cast(number)})
     for k, (c, pairs) in enumerate(n.children):
         below = _mu(c, state).groupBy(*(F.col(y).alias(f"__k{k}_{i}") for i, (_, y) in enumerate(pairs))).agg(F.sum("__all").cast(number).alias("__a"), F.sum("__cln").cast(number).alias("__d"))
         on = fold(lambda x, y: x & y, [F.col(x) == F.col(f"__k{k}_{i}") for i, (x, _) in enumerate(pairs)])
-        df = df.join(below, on, "left")
+        df = df.join(keys_to_join(stored(below, "below")), on, "left")
         df = df.withColumns({"__all": (F.col("__all") * F.coalesce("__a", F.lit(0))).cast(number), "__cln": (F.col("__cln") * F.coalesce("__d", F.lit(0))).cast(number)}).drop("__a", "__d", *(f"__k{k}_{i}" for i in range(len(pairs))))
     return df
 

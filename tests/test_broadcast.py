@@ -25,6 +25,23 @@ def test_keys_are_broadcast_by_their_rows_and_not_by_their_files(spark, n, how):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+@pytest.mark.parametrize(("n", "how"), [(40_000, "SortMergeJoin"), (50, "BroadcastHashJoin")])
+def test_multiplicities_are_broadcast_by_their_rows_and_not_by_the_size_of_files(spark, tmp_path, n, how):
+    """All rows of a table, as where all count as clean, take less in files than their sums in memory."""
+    spark.range(n).selectExpr("id b", "'x' rid").write.parquet(f"{tmp_path}/below")
+    below = J.Node("below", spark.read.parquet(f"{tmp_path}/below"))
+    root = J.Node("above", spark.range(n).selectExpr("id a", "'x' rid")).child(below, ("a", "b"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1m")
+    try:
+        df = J.cardinality(root, {x.name: J.chosen(x) for x in root.walk()})
+        assert [tuple(r) for r in df.collect()] == [(n, n)]
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert [how in x for x in plan.splitlines() if "Join" in x] == [True]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 @pytest.mark.parametrize(("threshold", "how"), [("400k", "SortMergeJoin"), ("4m", "BroadcastHashJoin")])
 def test_q18_broadcasts_customers_by_their_rows_and_not_by_their_files(spark, tmp_path, threshold, how):
     """Names of one form take about a byte each in files."""
