@@ -6,8 +6,12 @@ than the later ones, and its last bytes can't match at all.
 
 The ordinary dictionary is trained on ordinary texts. The toxic one is trained on toxic texts by what it compresses: it starts as
 their words (those in several texts); the texts are dealt to folds, and a word of one fold stays if the dictionary of the other folds
-saves `GAIN` bytes on it. Words of ordinary texts on which the result saves as much go to the ordinary dictionary, and the toxic words
-are judged again. So words stay that toxic texts share and ordinary ones don't, by compressed lengths alone.
+saves `GAIN` bytes on it. Words of ordinary texts on which the result saves `HARD_GAIN` go to the ordinary dictionary, and the toxic words
+are judged again. So words stay that toxic texts share and ordinary ones don't, by compressed lengths.
+
+That alone is not safe: a few ordinary texts with toxic words, as of a wrong label, would cancel all like words, and a short word may take
+more bytes as a match than as it is. So pieces of `PIECE` bytes that are far more usual in toxic texts are `marks`: words with one stay, do
+not go to the ordinary dictionary, and are cut from what was trained.
 
 The threshold is calibrated on labelled texts that the dictionaries have not seen. A distance's evidence is the logarithm of how much
 more often windows of toxic texts reach it than those of ordinary ones; a text's evidence is summed over its windows and set against
@@ -43,10 +47,16 @@ TOXIC_BYTES = 1 << 14
 FOLDS = 4
 ROUNDS = 2
 GAIN = 2
+HARD_GAIN = 1
+PIECE = 5
+RATIO = 12
 PRIME, TAIL = bytes(range(1, 17)), bytes(range(17, 25))
 _LONGEST = 40
 _DISTANCES = 13
+_LOT = 100
 _LEVEL = 12
+#: The same for all dictionaries: zstandard's own change at 128 KB, which can lie between the two that are compared.
+_SEARCH = {"strategy": zstandard.STRATEGY_BTLAZY2, "hash_log": 17, "chain_log": 18, "search_log": 7, "target_length": 12}
 _GAP = re.compile(rb"[\x20\x09-\x0d]+")
 _compressors: dict[bytes, tuple] = {}
 
@@ -67,10 +77,50 @@ def words(data: bytes) -> set[bytes]:
     return {b" " + w[k : k + _LONGEST] + b" " for w in _GAP.split(data) if len(w) > 3 for k in range(0, len(w), _LONGEST)}
 
 
+def _pieces(data: bytes) -> np.ndarray:
+    """The number that each PIECE bytes of the text make, at each place; all separators are alike."""
+    a = np.frombuffer(b" " + data + b" ", np.uint8)
+    a = np.where(_SEPARATOR[a], 32, a).astype(np.int64)
+    n = max(len(a) - PIECE + 1, 0)
+    return sum((a[k : k + n] << 8 * k for k in range(PIECE)), np.zeros(n, np.int64))
+
+
+def marks(toxic: list[bytes], ordinary: list[bytes], ratio: float = RATIO) -> np.ndarray:
+    """The pieces whose share of toxic texts, less two deviations of their number, is over `ratio` times that of ordinary ones, sorted."""
+    found, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for k in range(0, len(toxic), _LOT):
+        more, at = np.unique(np.concatenate([found, *(np.unique(_pieces(t)) for t in toxic[k : k + _LOT])]), return_inverse=True)
+        found, n = more, np.bincount(at, np.append(n, np.ones(len(at) - len(n), np.int64)), len(more)).astype(np.int64)
+    low = n - 2 * np.sqrt(n)
+    found, low = found[low > 0], low[low > 0]
+    usual = np.ones(len(found), np.int64)
+    for t in ordinary:
+        usual[_among(np.unique(_pieces(t)), found, places=True)] += 1
+    return found[low * len(ordinary) > ratio * usual * len(toxic)]
+
+
+def _among(pieces: np.ndarray, found: np.ndarray, places: bool = False) -> np.ndarray:
+    """Which of the pieces are among the sorted ones found, or with `places`, where in these they are."""
+    if not len(found):
+        return np.zeros(0 if places else len(pieces), np.int64 if places else bool)
+    at = np.minimum(np.searchsorted(found, pieces), len(found) - 1)
+    same = found[at] == pieces
+    return at[same] if places else same
+
+
+def _unmarked(content: bytes, found: np.ndarray) -> bytes:
+    """The content without the bytes of the pieces found."""
+    hit = np.append(_among(_pieces(content), found), np.zeros(PIECE, bool))
+    covered = np.zeros(len(hit), bool)
+    for k in range(PIECE):
+        covered[k:] |= hit[: len(hit) - k]
+    return np.frombuffer(content, np.uint8)[~covered[1 : len(content) + 1]].tobytes()
+
+
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     d = zstandard.ZstdCompressionDict(content + TAIL + PRIME, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     p = zstandard.ZstdCompressionParameters.from_level(
-        _LEVEL, dict_size=len(content), source_size=WINDOW, min_match=4, window_log=18, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS
+        _LEVEL, **_SEARCH, source_size=WINDOW, min_match=4, window_log=18, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS
     )
     d.precompute_compress(compression_params=p)
     return zstandard.ZstdCompressor(compression_params=p, dict_data=d)
@@ -185,19 +235,23 @@ def _joined(parts: Iterable[bytes], seen: Counter, size: int) -> bytes:
 def train(toxic: list[bytes], ordinary: list[bytes], rounds: int = ROUNDS, folds: int = FOLDS, gain: int = GAIN) -> tuple[bytes, bytes]:
     """The ordinary and the toxic dictionary from lower-cased texts of each class. A fixed number of rounds; words in one text only are not looked at."""
     plain = _dictionary(ORDINARY_BYTES, [t[k : k + 400] for t in ordinary for k in range(0, len(t), 400)])
+    marked = marks(toxic, ordinary)
+    plain = _unmarked(plain, marked) or b" " * 8
     fold = [Counter(w for t in toxic[k::folds] for w in words(t)) for k in range(folds)]
     seen, usual = sum(fold, Counter()), Counter(w for t in ordinary for w in words(t))
     kept, common = [w for w, n in seen.items() if n > 1], sorted(w for w, n in usual.items() if n > 1)
+    has_mark = lambda w: _among(_pieces(w), marked).any()
+    sure = {w for w in kept if has_mark(w)}
     for k in range(rounds):
-        told = set()
+        told = set(sure)
         for own in fold:
             others = seen - own
-            mine = [w for w in kept if own[w]]
+            mine = [w for w in kept if own[w] and w not in sure]
             told |= {w for w, g in zip(mine, saved_on(mine, plain, _joined((w for w in kept if others[w]), others, TOXIC_BYTES)), strict=True) if g >= gain}
         kept = sorted(told)
         if k < rounds - 1:
             hard = saved_on(common, plain, _joined(kept, seen, TOXIC_BYTES))
-            plain = _joined((w for w, g in zip(common, hard, strict=True) if g >= gain), usual, HARD_BYTES) + plain
+            plain = _joined((w for w, g in zip(common, hard, strict=True) if g >= HARD_GAIN and not has_mark(w)), usual, HARD_BYTES) + plain
     return plain, _joined(kept, seen, TOXIC_BYTES)
 
 
