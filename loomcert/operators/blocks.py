@@ -47,53 +47,50 @@ def _signed(batches):
 
 
 class Role:
-    """The wedges of one role in a block: ends u and v, middle, number, and a wedge's hash times its number."""
+    """The wedges of one role in a block, nodes as places among the block's nodes (which keeps their order): ends u and v, middle, number,
+    and of each wedge the edges it is of, by which it has a hash."""
 
-    def __init__(self, near: tuple, far: tuple, second: bool):
+    def __init__(self, near: tuple, far: tuple, nodes: np.ndarray, second: bool):
         u, mid, n = near
         key, v, w = far
         order = np.argsort(key, kind="stable")
         key, v, w = key[order], v[order], w[order]
+        self.signs = (sign(mid, u, n, 2), sign(v, key, w, 1)) if second else (sign(u, mid, n, 1), sign(key, v, w, 2))
+        u, mid, key, v = (np.searchsorted(nodes, c).astype(np.int32) for c in (u, mid, key, v))
         first, last = np.searchsorted(key, mid), np.searchsorted(key, mid, "right")
         each = last - first
-        i = np.repeat(np.arange(len(u)), each)
-        j = np.arange(len(i)) - np.repeat(np.cumsum(each) - each, each) + np.repeat(first, each)
-        f, g = (sign(mid, u, n, 2), sign(v, key, w, 1)) if second else (sign(u, mid, n, 1), sign(key, v, w, 2))
-        self.u, self.mid, self.v, self.n, self.sign = u[i], mid[i], v[j], n[i] * w[j], f[i] * g[j]
+        i = np.repeat(np.arange(len(u), dtype=np.int32), each)
+        j = (np.arange(len(i)) - np.repeat(np.cumsum(each) - each - first, each)).astype(np.int32)
+        self.near, self.far, self.u, self.mid, self.v, self.n = i, j, u[i], mid[i], v[j], n[i] * w[j]
         self.met = self.v < self.mid if second else self.mid < self.v
 
-    def most(self) -> int:
-        """How often the most frequent wedge occurs."""
-        if not len(self.u):
-            return 0
-        code = np.zeros(len(self.u), np.int64)
-        for c in (self.u, self.v, self.mid):
-            ids, at = _ids(c)
-            code = code * len(ids) + at
+    def sign(self, where=slice(None)) -> int:
+        """The sum of the wedges' hashes, each times its number, modulo 2^64."""
+        return int((self.signs[0][self.near[where]] * self.signs[1][self.far[where]]).sum())
+
+    def most(self, key: np.ndarray, nodes: int) -> int:
+        """How often the most frequent wedge occurs, by its ends' number and its middle."""
+        code = key * nodes + self.mid
         code.sort()
-        new = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1], [True])))
-        return int(np.diff(new).max())
+        new = np.flatnonzero(np.concatenate((code[1:] != code[:-1], [True])))
+        return int(np.diff(new, prepend=-1).max()) if len(code) else 0
 
 
-def _ids(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The different values, and each value's place among them; by a table where they lie close together."""
-    low = int(c.min())
-    if int(c.max()) - low > WEDGES:
-        return np.unique(c, return_inverse=True)
-    seen = np.zeros(int(c.max()) - low + 1, bool)
-    seen[c - low] = True
-    return np.flatnonzero(seen) + low, (np.cumsum(seen) - 1)[c - low]
+def _keyed(one: Role, two: Role, nodes: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """A number for each pair of ends in both roles, and how many numbers there are."""
 
+    def places(name: str) -> tuple[int, np.ndarray]:
+        seen = np.zeros(nodes, bool)
+        for r in (one, two):
+            seen[getattr(r, name)] = True
+        return int(seen.sum()), np.cumsum(seen) - 1
 
-def _keyed(one: Role, two: Role) -> tuple[int, np.ndarray, np.ndarray]:
-    """A number for each pair of ends in both roles, and how many numbers there are."""
-    us, u = _ids(np.concatenate((one.u, two.u)))
-    vs, v = _ids(np.concatenate((one.v, two.v)))
-    key, size = u * len(vs) + v, len(us) * len(vs)
-    if size > WEDGES:
-        keys, key = np.unique(key, return_inverse=True)
-        size = len(keys)
-    return size, key[: len(one.u)], key[len(one.u) :]
+    (n_u, u), (n_v, v) = places("u"), places("v")
+    key1, key2 = (u[r.u] * n_v + v[r.v] for r in (one, two))
+    if n_u * n_v <= WEDGES:
+        return n_u * n_v, key1, key2
+    keys, key = np.unique(np.concatenate((key1, key2)), return_inverse=True)
+    return len(keys), key[: len(key1)], key[len(key1) :]
 
 
 def _by_key(size: int, key: np.ndarray, n: np.ndarray, where: np.ndarray) -> np.ndarray:
@@ -122,13 +119,13 @@ def _has(size: int, key: np.ndarray, where: np.ndarray) -> np.ndarray:
     return out
 
 
-def measured(one: Role, two: Role) -> list[dict]:
+def measured(one: Role, two: Role, nodes: np.ndarray) -> list[dict]:
     """A block's share in each check of each tampered reduction (certify.tampered), and for `hide` also that with its own least clean row hidden."""
-    size, k1, k2 = _keyed(one, two)
+    size, k1, k2 = _keyed(one, two, len(nodes))
     clean1 = one.met & _has(size, k2, two.met)[k1]
     clean2 = two.met & _has(size, k1, clean1)[k2]
     all1, all2 = _by_key(size, k1, one.n, one.met), _by_key(size, k2, two.n, two.met)
-    rows = {"most": max(one.most(), two.most()), "rows1": _total(one.n), "rows2": _total(two.n), "sign1": int(one.sign.sum()) % 2**_BITS, "sign2": int(two.sign.sum()) % 2**_BITS}
+    rows = {"most": max(one.most(k1, len(nodes)), two.most(k2, len(nodes))), "rows1": _total(one.n), "rows2": _total(two.n), "sign1": one.sign() % 2**_BITS, "sign2": two.sign() % 2**_BITS}
     join_all = _dot(all1, all2)
 
     def share(kind: str, c1: np.ndarray, c2: np.ndarray, **more) -> dict:
@@ -139,13 +136,13 @@ def measured(one: Role, two: Role) -> list[dict]:
 
     out = [share("all", one.met, two.met), share("select", np.ones(len(k1), bool), clean2)]
     right = share("hide", clean1, clean2)
-    twice = two.sign[clean2] * np.uint64(0x9E3779B97F4A7C15)
-    out.append(right | {"kind": "misplace", "rows2": right["rows2"] + _total(two.n[clean2]), "sign2": (right["sign2"] + int(twice.sum())) % 2**_BITS, "join_clean": None})
+    twice = two.sign(clean2) * 0x9E3779B97F4A7C15
+    out.append(right | {"kind": "misplace", "rows2": right["rows2"] + _total(two.n[clean2]), "sign2": (right["sign2"] + twice) % 2**_BITS, "join_clean": None})
     if clean2.any():
         at = np.flatnonzero(clean2)
         for c in (two.v, two.mid, two.u):
             at = at[c[at] == c[at].min()]
-        least = dict(zip("xyz", (int(c[at[0]]) for c in (two.v, two.mid, two.u)), strict=True))
+        least = dict(zip("xyz", (int(nodes[c[at[0]]]) for c in (two.v, two.mid, two.u)), strict=True))
         rest = clean2.copy()
         rest[at[0]] = False
         out.append(share("hide", clean1, rest, hidden=True, **least))
@@ -159,8 +156,10 @@ def _block(table: pa.Table) -> pa.Table:
         k, o, n = (rows[c].combine_chunks() for c in ("k", "o", "n"))
         return np.repeat(k.to_numpy(zero_copy_only=False), o.value_lengths().to_numpy(zero_copy_only=False)), o.flatten().to_numpy(zero_copy_only=False), n.flatten().to_numpy(zero_copy_only=False)
 
-    one, two = Role(side(1), side(2), False), Role(side(3), side(4), True)
-    out = measured(one, two) if len(one.u) + len(two.u) else []
+    near1, far1, near2, far2 = map(side, (1, 2, 3, 4))
+    nodes = np.unique(np.concatenate([c for s in (near1, far1, near2, far2) for c in s[:2]]))
+    one, two = Role(near1, far1, nodes, False), Role(near2, far2, nodes, True)
+    out = measured(one, two, nodes) if len(one.u) + len(two.u) else []
     kinds = {"kind": pa.string(), "hidden": pa.bool_()} | dict.fromkeys("xyz", pa.int64()) | {"most": pa.int64()} | dict.fromkeys(_SUMS, pa.decimal128(38, 0))
     value = lambda c, x: Decimal(x) if c in _SUMS and x is not None else x
     return pa.table({c: pa.array([value(c, r[c]) for r in out], kind) for c, kind in kinds.items()})
@@ -202,11 +201,11 @@ def shares(m: DataFrame, middles: DataFrame) -> DataFrame:
 
 def outcomes(edges: DataFrame) -> DataFrame:
     """One row for each way of tampering: (kind, conservation, selector, cardinality, pairwise), as certify.tamper has them for gq4."""
-    m = multiplicity(edges.where("src is not null")).withColumn("n", F.col("n").cast("bigint"))
-    m = stored(m.mapInArrow(_signed, "src bigint, dst bigint, n bigint, f bigint, g bigint"), "multiplicity")
+    m = stored(multiplicity(edges.where("src is not null")).withColumn("n", F.col("n").cast("bigint")), "multiplicity")
+    signed = m.mapInArrow(_signed, "src bigint, dst bigint, n bigint, f bigint, g bigint")
     total = lambda c: F.sum(F.col(c).cast(_D)).cast(_D).alias(c)
-    into = m.where("src < dst").groupBy(F.col("dst").alias("v")).agg(F.count("*").alias("k_in"), F.sum("n").cast(_D).alias("n_in"), total("f"))
-    from_ = m.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("k_out"), F.sum("n").cast(_D).alias("n_out"), total("g"))
+    into = signed.where("src < dst").groupBy(F.col("dst").alias("v")).agg(F.count("*").alias("k_in"), F.sum("n").cast(_D).alias("n_in"), total("f"))
+    from_ = signed.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("k_out"), F.sum("n").cast(_D).alias("n_out"), total("g"))
     middles = stored(into.join(from_, "v"), "middles")
     part = lambda c: (F.col(c) % F.lit(2**_BITS).cast(_D)).cast("decimal(17,0)")
     none = F.lit(0).cast(_D)
@@ -214,7 +213,7 @@ def outcomes(edges: DataFrame) -> DataFrame:
         F.coalesce(F.sum((F.col("n_in") * F.col("n_out")).cast(_D)), none).alias("n_rows"),
         F.coalesce(F.sum(((part("f") * part("g")) % F.lit(2**_BITS).cast(_D)).cast(_D)) % F.lit(2**_BITS).cast(_D), none).alias("base"),
     )
-    found = stored(shares(m.select("src", "dst", "n"), middles.select("v", "k_in", "k_out")), "shares")
+    found = stored(shares(m, middles.select("v", "k_in", "k_out")), "shares")
     # Each block has hidden its own least clean row; only the block that has the least of all counts with it, the others as they were.
     least = found.where("hidden").agg(F.min(F.struct("x", "y", "z")).alias("least"))
     own = F.coalesce(F.struct("x", "y", "z") == F.col("least"), F.lit(False)) & F.col("x").isNotNull()
